@@ -8,9 +8,12 @@ batches, and only for texts whose length and letter counts leave the threshold w
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
+from hashlib import md5
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +23,8 @@ from caseloom import fixed_values as fixed
 from caseloom.functions.text import col_of, normalize_text
 
 
+REMEMBERED_PAIRS = 100_000
+
 
 @F.pandas_udf(T.DoubleType())
 def _ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -40,29 +45,44 @@ def is_near_duplicate(
     return (na != "") & (nb != "") & (_ratio_udf(na, nb) >= threshold)
 
 
-def _duplicates_in_list(texts: Iterable[str], threshold: float) -> list[list[int]]:
-    """For each text the 1-based positions of the others it nearly repeats."""
-    texts = list(texts)
-    repeats: list[list[int]] = [[] for _ in texts]
-    for j, kept in enumerate(texts):
-        if not kept:
-            continue
-        matcher = None
-        for i, candidate in enumerate(texts):
-            if i == j or not candidate:
-                continue
-            if candidate == kept:
-                repeats[i].append(j + 1)
-                continue
-            total = len(candidate) + len(kept)
-            if 2.0 * min(len(candidate), len(kept)) / total < threshold:
-                continue
-            if matcher is None:
-                matcher = SequenceMatcher(None, "", kept)
-            matcher.set_seq1(candidate)
-            if matcher.quick_ratio() >= threshold and matcher.ratio() >= threshold:
-                repeats[i].append(j + 1)
-    return repeats
+class _Comparer:
+    """Compares texts of one task, remembering outcomes of recent pairs.
+
+    Letter counts bound the ratio from above, so only texts alike in length and letters are matched
+    block by block.
+    """
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.outcome = lru_cache(maxsize=REMEMBERED_PAIRS)(self._compare)
+        self.texts: dict[bytes, str] = {}
+
+    def _compare(self, candidate: bytes, kept: bytes) -> bool:
+        return (
+            SequenceMatcher(None, self.texts[candidate], self.texts[kept]).ratio()
+            >= self.threshold
+        )
+
+    def repeats(self, texts: Iterable[str]) -> list[list[int]]:
+        """For each text the 1-based positions of the others it nearly repeats."""
+        texts = list(texts)
+        codes = [np.frombuffer(t.encode(), dtype=np.uint8) for t in texts]
+        letters = np.stack([np.bincount(c, minlength=128)[:128] for c in codes])
+        keys = [md5(c, usedforsecurity=False).digest() for c in codes]
+        self.texts = dict(zip(keys, texts))
+        shared = np.minimum(letters[:, None, :], letters[None, :, :]).sum(2)
+        total = letters.sum(1)[:, None] + letters.sum(1)[None, :]
+        within_reach = 2.0 * shared >= self.threshold * total - 1e-6
+
+        def repeated(i: int, j: int) -> bool:
+            if i == j or not texts[i] or not texts[j]:
+                return False
+            if keys[i] == keys[j]:
+                return True
+            return bool(within_reach[i, j]) and self.outcome(keys[i], keys[j])
+
+        places = range(len(texts))
+        return [[j + 1 for j in places if repeated(i, j)] for i in places]
 
 
 def near_duplicates(texts: Column | str, threshold: float = fixed.NEAR_DUPLICATE_RATIO) -> Column:
@@ -88,7 +108,9 @@ def near_duplicates(texts: Column | str, threshold: float = fixed.NEAR_DUPLICATE
         )
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-    def compare(batch: pd.Series) -> pd.Series:
-        return pd.Series([_duplicates_in_list(t, threshold) for t in batch])
+    def compare(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        comparer = _Comparer(threshold)
+        for batch in batches:
+            yield pd.Series([comparer.repeats(t) for t in batch], dtype=object)
 
     return compare(texts)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from caseloom import fixed_values as fixed
 from caseloom.functions.similarity import near_duplicates
-from caseloom.functions.text import col_of, normalize_tag_list, normalize_text
+from caseloom.functions.text import col_of, normalize_tag_list
 
 PAYLOAD = (
     "doc_id",
@@ -30,20 +30,22 @@ def candidates_per_query(incidents: DataFrame, threshold: float | None) -> DataF
 
     Near-duplicates depend on the texts alone, so they are found once per query here and not once
     per ticket.  ``threshold=None`` leaves them out.  Groups are as long as the retrieval limit.
+    Comparing texts costs far more than moving them, hence the fixed number of partitions, which
+    adaptive execution does not merge by size.
     """
-    per_query = incidents.groupBy("query_id").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct("rank", "distance", *[c for c in PAYLOAD if c in incidents.columns])
-            )
-        ).alias("candidates")
+    partitions = int(incidents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fields = [c for c in ("rank", "distance", *PAYLOAD, "normalized") if c in incidents.columns]
+    gathered = (
+        incidents.repartition(partitions, "query_id")
+        .groupBy("query_id")
+        .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("gathered"))
     )
     if threshold is None:
-        repeats = F.transform("candidates", lambda c: F.array().cast("array<int>"))
+        repeats = F.transform("gathered", lambda c: F.array().cast("array<int>"))
     else:
-        texts = F.transform("candidates", lambda c: normalize_text(c["issue_description"]))
-        repeats = near_duplicates(texts, threshold)
-    return per_query.withColumn("repeats", repeats)
+        repeats = near_duplicates(F.transform("gathered", lambda c: c["normalized"]), threshold)
+    candidates = F.transform("gathered", lambda c: c.dropFields("normalized"))
+    return gathered.select("query_id", candidates.alias("candidates"), repeats.alias("repeats"))
 
 
 def rerank(

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseloom import fixed_values as fixed
+from caseloom.functions.text import normalize_text
 
 BROADCAST_BYTES = 256 * 1024 * 1024
 TILE_ROWS = 8192
@@ -236,16 +237,20 @@ def knn_topk(
 
 
 def retrieved_incidents(hits: DataFrame, kb: DataFrame) -> DataFrame:
-    """Hits with their knowledge-base fields, missing ones as empty text."""
+    """Hits with their knowledge-base fields, missing ones as empty text.
+
+    ``normalized`` is the text near-duplicates are judged by, computed once per knowledge-base row.
+    """
     text = ("issue_description", "resolution", "type", "queue", "priority")
     fields = kb.select(
         F.col("doc_id").cast("string").alias("doc_id"),
         *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in text],
         F.coalesce(F.col("tags"), F.array().cast("array<string>")).alias("tags"),
         "retrieval_text",
+        normalize_text("issue_description").alias("normalized"),
     )
     return hits.join(fields, "doc_id", "left").select(
-        "query_id", "rank", "doc_id", "distance", *text, "tags", "retrieval_text"
+        "query_id", "rank", "doc_id", "distance", *text, "tags", "retrieval_text", "normalized"
     )
 
 

@@ -50,3 +50,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     if len(rows) > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its scan has fewer partitions than that, else ``df`` unchanged.
+
+    For small inputs of costly narrow jobs.  Scans of large tables have partitions enough and are
+    never shuffled by this.  ``df`` must be a plain scan or a projection of one.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

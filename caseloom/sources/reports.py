@@ -26,7 +26,7 @@ def write_classification_report(predictions: DataFrame, path: str) -> None:
     """``<path>_json`` with one record per line of the report and ``<path>_txt`` with its text."""
     report = classification_report(predictions)
     report.write.mode("overwrite").json(f"{path}_json")
-    report_text(report).write.mode("overwrite").option("lineSep", "").text(f"{path}_txt")
+    report_text(report).write.mode("overwrite").text(f"{path}_txt")
 
 
 def write_confusion_csv(predictions: DataFrame, path: str, labels=LABELS) -> None:
