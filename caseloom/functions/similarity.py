@@ -24,6 +24,7 @@ from caseloom.functions.text import col_of, normalize_text
 
 
 REMEMBERED_PAIRS = 100_000
+CHECK_EVERY = 128
 
 
 @F.pandas_udf(T.DoubleType())
@@ -45,11 +46,42 @@ def is_near_duplicate(
     return (na != "") & (nb != "") & (_ratio_udf(na, nb) >= threshold)
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode(), dtype=np.uint8)
+
+
+def _positions(codes: np.ndarray) -> dict[int, int]:
+    """Per letter a bit set of its places in the text, as one integer."""
+    return {
+        int(letter): int.from_bytes(np.packbits(codes == letter, bitorder="little"), "little")
+        for letter in np.unique(codes)
+    }
+
+
+def _may_share(a: np.ndarray, b: np.ndarray, needed: float) -> bool:
+    """Whether the longest common subsequence of two texts can have ``needed`` letters.
+
+    Matching blocks never cross, so together they are a common subsequence.  Its length grows one
+    letter of ``b`` at a time, all places of ``a`` at once in the bits of an integer, and the count
+    stops as soon as the letters left cannot make up for those missing.
+    """
+    places, full = _positions(a), (1 << len(a)) - 1
+    open_places, left = full, len(b)
+    for at in range(0, len(b), CHECK_EVERY):
+        for letter in b[at : at + CHECK_EVERY].tolist():
+            met = open_places & places.get(letter, 0)
+            open_places = ((open_places + met) | (open_places - met)) & full
+        left = len(b) - min(at + CHECK_EVERY, len(b))
+        if len(a) - open_places.bit_count() + left < needed:
+            return False
+    return True
+
+
 class _Comparer:
     """Compares texts of one task, remembering outcomes of recent pairs.
 
-    Letter counts bound the ratio from above, so only texts alike in length and letters are matched
-    block by block.
+    Letter counts and then common subsequences bound the ratio from above, so few texts that are no
+    near-duplicates are matched block by block.
     """
 
     def __init__(self, threshold: float):
@@ -58,15 +90,16 @@ class _Comparer:
         self.texts: dict[bytes, str] = {}
 
     def _compare(self, candidate: bytes, kept: bytes) -> bool:
-        return (
-            SequenceMatcher(None, self.texts[candidate], self.texts[kept]).ratio()
-            >= self.threshold
-        )
+        a, b = self.texts[candidate], self.texts[kept]
+        needed = self.threshold * (len(a) + len(b)) / 2.0 - 1e-6
+        if not _may_share(_codes(a), _codes(b), needed):
+            return False
+        return SequenceMatcher(None, a, b).ratio() >= self.threshold
 
     def repeats(self, texts: Iterable[str]) -> list[list[int]]:
         """For each text the 1-based positions of the others it nearly repeats."""
         texts = list(texts)
-        codes = [np.frombuffer(t.encode(), dtype=np.uint8) for t in texts]
+        codes = [_codes(t) for t in texts]
         letters = np.stack([np.bincount(c, minlength=128)[:128] for c in codes])
         keys = [md5(c, usedforsecurity=False).digest() for c in codes]
         self.texts = dict(zip(keys, texts))

@@ -65,6 +65,7 @@ STAGES = {
     )
 }
 MODEL_NAMES = {"stage5": "LinearSVC"}
+ROWS_PER_PARTITION = 20_000
 
 
 def term_stages(bigrams: bool, stop_words: Sequence[str] | None) -> list:
@@ -175,8 +176,11 @@ def train_model(
         "class_weight", F.lit(1.0)
     )
     ready = labels.transform(features.transform(rows)).select("features", "_label", "class_weight")
+    n = train.count()
+    # Every iteration visits every partition, so small training sets get few of them.
+    ready = ready.coalesce(max(1, n // ROWS_PER_PARTITION))
     # Regularisation of strength C = 1: the weights of a training set sum to its row count.
-    strength = 1.0 / train.count()
+    strength = 1.0 / n
     if stage.svm:
         binary = LinearSVC(
             regParam=strength, maxIter=max_iter or 100, standardization=False
