@@ -59,7 +59,7 @@ def stratified_split(
     running = Window.partitionBy(label).orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
     cuts = (
         histogram.withColumn("upto", F.sum("n").over(running))
-        .join(F.broadcast(quotas), label)
+        .join(quotas, label)
         .filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
         .select(
             label,
@@ -101,6 +101,21 @@ def ngrams_1_2(tokens: Column | str) -> Column:
     return F.concat(tokens, bigrams)
 
 
+def document_terms(
+    documents: DataFrame, key: str, text: str, stop_words: Sequence[str], bigrams: bool = True
+) -> DataFrame:
+    """(key, terms) per document, placed by key.
+
+    The raw text is what gets shuffled; it is smaller than its terms.  Whatever counts terms per
+    document afterwards finds the rows in place.
+    """
+    kept = remove_stopwords(tokenize(text), stop_words)
+    placed = documents.select(key, text).repartition(key)
+    if not bigrams:
+        return placed.select(key, kept.alias("terms"))
+    return placed.select(key, kept.alias("kept")).select(key, ngrams_1_2("kept").alias("terms"))
+
+
 def vocabulary(
     documents: DataFrame, terms: str = "terms", min_df: int = 1, max_features: int | None = None
 ) -> DataFrame:
@@ -108,50 +123,60 @@ def vocabulary(
 
     Corpus and document counts come from one pass and one shuffle by term; equal counts go by term.
     """
+
     def counted(values: Column, tf: int, df: int) -> Column:
         return F.transform(
             values, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df"))
         )
 
     both = F.concat(counted(F.col(terms), 1, 0), counted(F.array_distinct(terms), 0, 1))
-    counts = (
-        documents.select(F.inline(both))
-        .groupBy("term")
-        .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-        .filter(F.col("df") >= min_df)
+    counts = documents.select(F.inline(both)).groupBy("term").agg(
+        F.sum("tf").alias("tf"), F.sum("df").alias("df")
     )
+    return _most_frequent(counts, min_df, max_features)
+
+
+def term_counts(documents: DataFrame, key: str = "doc_id", terms: str = "terms") -> DataFrame:
+    """(key, term, n) of ``document_terms``."""
+    return (
+        documents.select(key, F.explode(terms).alias("term"))
+        .groupBy(key, "term")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def vocabulary_of_counts(
+    counts: DataFrame, min_df: int = 1, max_features: int | None = None
+) -> DataFrame:
+    """``vocabulary`` from ``term_counts``."""
+    totals = counts.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+    return _most_frequent(totals, min_df, max_features)
+
+
+def _most_frequent(counts: DataFrame, min_df: int, max_features: int | None) -> DataFrame:
+    counts = counts.filter(F.col("df") >= min_df)
     if max_features is None:
         return counts
     return counts.orderBy(F.col("tf").desc(), "term").limit(max_features)
 
 
 def tfidf(
-    documents: DataFrame,
+    counts: DataFrame,
     vocab: DataFrame,
     n_documents: int,
     key: str = "doc_id",
-    terms: str = "terms",
     max_features: int | None = None,
 ) -> DataFrame:
     """Weights of vocabulary terms per document, each document at length one: (key, term, weight).
 
-    Documents are placed by key once.  With a vocabulary limited to ``max_features`` terms, which
-    is then broadcast, term counts and document lengths need no further shuffle.  A vocabulary
-    without a limit is joined by shuffling.
+    ``counts`` are ``term_counts``.  A vocabulary limited to ``max_features`` terms is broadcast,
+    and document lengths need no further shuffle; one without a limit is joined by shuffling.
     """
     limited = max_features is not None and max_features <= MAX_BROADCAST_TERMS
     idf = F.log((F.lit(1.0) + n_documents) / (F.lit(1.0) + F.col("df"))) + 1
-    weighted_vocab = vocab.select("term", idf.alias("idf"))
-    counts = (
-        documents.select(key, terms)
-        .repartition(key)
-        .select(key, F.explode(terms).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    side = F.broadcast(weighted_vocab) if limited else weighted_vocab
-    weights = counts.join(side, "term").select(
-        key, "term", (F.col("tf") * F.col("idf")).alias("weight")
+    weighted = vocab.select("term", idf.alias("idf"))
+    weights = counts.join(F.broadcast(weighted) if limited else weighted, "term").select(
+        key, "term", (F.col("n") * F.col("idf")).alias("weight")
     )
     length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
     return weights.withColumn("weight", F.col("weight") / length)

@@ -113,15 +113,19 @@ def metrics_record(predictions: DataFrame, model: str | None = None) -> DataFram
 def confusion_matrix(predictions: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     """Actual labels down, predicted labels across; both in sorted order, absent ones as zeros."""
     labels = sorted(labels)
-    rows = predictions.sparkSession.createDataFrame(
-        [(name,) for name in labels], "actual_priority string"
-    )
-    counts = F.broadcast(rows).join(prediction_counts(predictions), "actual_priority", "left")
-    cells = [
-        F.coalesce(F.sum(F.when(F.col("predicted_priority") == p, F.col("n"))), F.lit(0)).alias(p)
-        for p in labels
+
+    def cell(actual: str, predicted: str) -> Column:
+        here = (F.col("actual_priority") == actual) & (F.col("predicted_priority") == predicted)
+        return F.count_if(here).alias(f"{actual}>{predicted}")
+
+    counts = predictions.agg(*[cell(a, p) for a in labels for p in labels])
+    lines = [
+        F.struct(
+            F.lit(a).alias("actual_priority"), *[F.col(f"`{a}>{p}`").alias(p) for p in labels]
+        )
+        for a in labels
     ]
-    return counts.groupBy("actual_priority").agg(*cells).orderBy("actual_priority")
+    return counts.select(F.inline(F.array(*lines)))
 
 
 def classification_report(predictions: DataFrame) -> DataFrame:

@@ -34,7 +34,9 @@ def candidates_per_query(incidents: DataFrame, threshold: float | None) -> DataF
     adaptive execution does not merge by size.
     """
     partitions = int(incidents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fields = [c for c in ("rank", "distance", *PAYLOAD, "normalized") if c in incidents.columns]
+    fields = ["rank", "distance", *PAYLOAD]
+    if threshold is not None:
+        fields.append("normalized")
     gathered = (
         incidents.repartition(partitions, "query_id")
         .groupBy("query_id")
@@ -44,7 +46,9 @@ def candidates_per_query(incidents: DataFrame, threshold: float | None) -> DataF
         repeats = F.transform("gathered", lambda c: F.array().cast("array<int>"))
     else:
         repeats = near_duplicates(F.transform("gathered", lambda c: c["normalized"]), threshold)
-    candidates = F.transform("gathered", lambda c: c.dropFields("normalized"))
+    candidates = F.col("gathered")
+    if threshold is not None:
+        candidates = F.transform(candidates, lambda c: c.dropFields("normalized"))
     return gathered.select("query_id", candidates.alias("candidates"), repeats.alias("repeats"))
 
 

@@ -17,9 +17,11 @@ sum over the dimensions, so equal vectors get equal distances and ties fall by d
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +30,8 @@ from caseloom import fixed_values as fixed
 from caseloom.functions.text import normalize_text
 
 BROADCAST_BYTES = 256 * 1024 * 1024
-TILE_ROWS = 8192
+TILE_BYTES = 128 * 1024 * 1024
+BLOCK_ROWS = 8192
 QUERY_ROWS = 1024
 METRICS = ("l2sq", "cosine")
 
@@ -115,8 +118,8 @@ def _search(
             vectors = _matrix(block["embedding"])
             ids = block["query_id"].to_numpy()
             parts = []
-            for lo in range(0, len(rows), TILE_ROWS):
-                some = rows[lo : lo + TILE_ROWS]
+            for lo in range(0, len(rows), BLOCK_ROWS):
+                some = rows[lo : lo + BLOCK_ROWS]
                 q, d, dist = _best(vectors, tile.vectors[some], k, metric)
                 parts.append((q, some[d], dist))
             if not parts:
@@ -159,16 +162,44 @@ def _hit_schema(queries: DataFrame) -> T.StructType:
     )
 
 
-def _knn_broadcast(queries, docs, k, metric, match_on) -> DataFrame:
-    rows = docs.toPandas()
-    if rows.empty:
-        return queries.sparkSession.createDataFrame([], _hit_schema(queries))
-    tile = queries.sparkSession.sparkContext.broadcast(_Tile(rows, match_on))
+@dataclass(frozen=True)
+class Index:
+    """A knowledge base made ready for searching; reusable across searches."""
+
+    docs: DataFrame
+    match_on: tuple[str, ...]
+    rows: int
+    dimension: int
+    matrix: Broadcast | None
+
+
+def prepare_index(
+    kb: DataFrame, match_on: Sequence[str] = (), broadcast_bytes: int = BROADCAST_BYTES
+) -> Index:
+    """Measure the knowledge base, and broadcast it if it has at most ``broadcast_bytes``."""
+    docs = kb.select(F.col("doc_id").cast("string"), "embedding", *match_on).filter(
+        F.col("embedding").isNotNull()
+    )
+    text_bytes = sum((F.octet_length(F.coalesce(c, F.lit(""))) for c in match_on), F.lit(0))
+    size = docs.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dimension"),
+        F.coalesce(F.sum(F.octet_length("doc_id") + text_bytes + 128), F.lit(0)).alias("text"),
+    ).first()
+    fits = size["rows"] * size["dimension"] * 8 + size["text"] <= broadcast_bytes
+    matrix = None
+    if fits and size["rows"]:
+        matrix = kb.sparkSession.sparkContext.broadcast(_Tile(docs.toPandas(), match_on))
+    return Index(docs, tuple(match_on), size["rows"], size["dimension"], matrix)
+
+
+def _knn_broadcast(queries: DataFrame, index: Index, k: int, metric: str) -> DataFrame:
+    matrix, match_on = index.matrix, index.match_on
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield _search(batch, tile.value, k, metric, match_on)
+                yield _search(batch, matrix.value, k, metric, match_on)
 
     return queries.mapInPandas(search, _hit_schema(queries))
 
@@ -183,10 +214,14 @@ def _tile_search(k: int, metric: str, match_on: Sequence[str]) -> Callable:
     return search
 
 
-def _knn_tiles(queries, docs, k, metric, match_on, n_docs, tile_rows) -> DataFrame:
-    n_queries = queries.count()
-    doc_tiles = max(1, -(-n_docs // tile_rows))
-    query_tiles = max(1, -(-n_queries // tile_rows))
+def _knn_tiles(
+    queries: DataFrame, index: Index, k: int, metric: str, tile_rows: int | None
+) -> DataFrame:
+    if tile_rows is None:
+        tile_rows = max(1, TILE_BYTES // (max(1, index.dimension) * 8))
+    docs, match_on = index.docs, index.match_on
+    doc_tiles = max(1, -(-index.rows // tile_rows))
+    query_tiles = max(1, -(-queries.count() // tile_rows))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     tiled_queries = queries.select(
@@ -207,33 +242,31 @@ def _knn_tiles(queries, docs, k, metric, match_on, n_docs, tile_rows) -> DataFra
 
 def knn_topk(
     queries: DataFrame,
-    kb: DataFrame,
+    kb: DataFrame | Index,
     k: int,
     metric: str = "l2sq",
     match_on: Sequence[str] = (),
     broadcast_bytes: int = BROADCAST_BYTES,
-    tile_rows: int = TILE_ROWS,
+    tile_rows: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest knowledge-base rows of each query: (query_id, doc_id, distance, rank).
 
     ``queries`` holds distinct ``query_id`` with an ``embedding``; ``kb`` holds ``doc_id`` and
-    ``embedding``.  For each column in ``match_on`` a query's ``<column>_filter``, where given,
-    restricts the rows before they are ranked.  Rows without a vector take no part.
+    ``embedding``, or is an ``Index`` of it.  For each column in ``match_on`` a query's
+    ``<column>_filter``, where given, restricts the rows before they are ranked.  Rows without a
+    vector take no part.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
+    index = kb if isinstance(kb, Index) else prepare_index(kb, match_on, broadcast_bytes)
     queries = queries.select(
-        "query_id", "embedding", *[f"{c}_filter" for c in match_on]
+        "query_id", "embedding", *[f"{c}_filter" for c in index.match_on]
     ).filter(F.col("embedding").isNotNull())
-    docs = kb.select(F.col("doc_id").cast("string"), "embedding", *match_on).filter(
-        F.col("embedding").isNotNull()
-    )
-    size = docs.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dim")
-    ).first()
-    if size["n"] * (size["dim"] * 8 + 64) <= broadcast_bytes:
-        return _knn_broadcast(queries, docs, k, metric, match_on)
-    return _knn_tiles(queries, docs, k, metric, match_on, size["n"], tile_rows)
+    if index.rows == 0:
+        return queries.sparkSession.createDataFrame([], _hit_schema(queries))
+    if index.matrix is not None:
+        return _knn_broadcast(queries, index, k, metric)
+    return _knn_tiles(queries, index, k, metric, tile_rows)
 
 
 def retrieved_incidents(hits: DataFrame, kb: DataFrame) -> DataFrame:

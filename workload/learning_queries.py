@@ -147,13 +147,13 @@ def stratified_split(spark, sf_dir):
     f"SELECT doc_id, array_to_string({S.tokens('text')}, ' ') AS tokens FROM documents",
 )
 def tokenize(spark, sf_dir):
-    return V.table(spark, sf_dir, "documents").select(
+    return V.documents(spark, sf_dir).select(
         "doc_id", F.array_join(features.tokenize("text"), " ").alias("tokens")
     )
 
 
 def kept_tokens(spark, sf_dir):
-    return V.table(spark, sf_dir, "documents").select(
+    return V.documents(spark, sf_dir).select(
         "doc_id", features.remove_stopwords(features.tokenize("text"), V.STOP_WORDS).alias("kept")
     )
 
@@ -168,7 +168,8 @@ def remove_stopwords(spark, sf_dir):
 
 
 def document_terms(spark, sf_dir):
-    return kept_tokens(spark, sf_dir).select("doc_id", features.ngrams_1_2("kept").alias("terms"))
+    docs = V.table(spark, sf_dir, "documents")
+    return features.document_terms(docs, "doc_id", "text", V.STOP_WORDS)
 
 
 @query(
@@ -198,10 +199,10 @@ FROM (SELECT c.doc_id, c.term,
     ("doc_terms", "vocabulary"),
 )
 def tfidf(spark, sf_dir):
-    docs = document_terms(spark, sf_dir)
-    vocab = features.vocabulary(docs, min_df=2, max_features=20_000)
+    counts = features.term_counts(document_terms(spark, sf_dir))
+    vocab = features.vocabulary_of_counts(counts, min_df=2, max_features=20_000)
     n = V.table(spark, sf_dir, "documents").count()
-    weights = features.tfidf(docs, vocab, n, max_features=20_000)
+    weights = features.tfidf(counts, vocab, n, max_features=20_000)
     return weights.withColumn("weight", F.round("weight", 6))
 
 
@@ -248,7 +249,7 @@ def _flag_sql(name: str) -> str:
   {", ".join(map(_flag_sql, features.KEYWORDS))} FROM documents""",
 )
 def engineered_features(spark, sf_dir):
-    docs = V.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = V.documents(spark, sf_dir).select("doc_id", "text")
     return features.engineered_features(docs, "text").drop("text")
 
 
@@ -333,7 +334,7 @@ def predict_priority(spark, sf_dir):
 @query("f18_predict_batch")
 def predict_batch(spark, sf_dir):
     model, _ = fitted(spark, sf_dir, "stage5")
-    texts = V.table(spark, sf_dir, "documents").select(
+    texts = V.documents(spark, sf_dir).select(
         "doc_id", F.col("text").alias(fixed.TEXT_COLUMN)
     )
     scored = training.predict_batch(model, texts)

@@ -19,14 +19,14 @@ from workload.source_queries import query_text_sql
     f"SELECT doc_id, {S.norm_issue('text')} AS normalized FROM documents",
 )
 def normalize_issue_text(spark, sf_dir):
-    return V.table(spark, sf_dir, "documents").select(
+    return V.documents(spark, sf_dir).select(
         "doc_id", text.normalize_issue_text("text").alias("normalized")
     )
 
 
 @query("c2_normalize_text", f"SELECT doc_id, {S.norm('text')} AS normalized FROM documents")
 def normalize_text(spark, sf_dir):
-    return V.table(spark, sf_dir, "documents").select(
+    return V.documents(spark, sf_dir).select(
         "doc_id", text.normalize_text("text").alias("normalized")
     )
 
@@ -47,7 +47,7 @@ def extract_issue_signals(spark, sf_dir):
 )
 def extract_document_signals(spark, sf_dir):
     signals = F.array_join(text.extract_issue_signals("text"), ", ")
-    return V.table(spark, sf_dir, "documents").select("doc_id", signals.alias("signals"))
+    return V.documents(spark, sf_dir).select("doc_id", signals.alias("signals"))
 
 
 @query(

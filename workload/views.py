@@ -40,6 +40,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
@@ -109,7 +113,7 @@ def ui_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Past incidents from documents, with their vectors."""
-    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    docs, vectors = documents(spark, sf_dir), table(spark, sf_dir, "embeddings")
     joined = docs.join(vectors, docs.doc_id == vectors.vec_id)
     return joined.select(
         docs.doc_id.cast("string").alias("doc_id"),
@@ -146,7 +150,7 @@ def hits(spark: SparkSession, sf_dir: str, k: int, metric: str = "cosine") -> Da
 
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training tickets from orders and customers, with gaps and noise for the cleaning rules."""
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    orders, customer = spread(table(spark, sf_dir, "orders")), table(spark, sf_dir, "customer")
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
     key = F.col("o_orderkey")
     level = (
