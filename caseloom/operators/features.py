@@ -130,16 +130,24 @@ def vocabulary(
         )
 
     both = F.concat(counted(F.col(terms), 1, 0), counted(F.array_distinct(terms), 0, 1))
-    counts = documents.select(F.inline(both)).groupBy("term").agg(
-        F.sum("tf").alias("tf"), F.sum("df").alias("df")
+    counts = (
+        documents.select(F.inline_outer(both))
+        .filter(F.col("term").isNotNull())
+        .groupBy("term")
+        .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     )
     return _most_frequent(counts, min_df, max_features)
 
 
 def term_counts(documents: DataFrame, key: str = "doc_id", terms: str = "terms") -> DataFrame:
-    """(key, term, n) of ``document_terms``."""
+    """(key, term, n) of ``document_terms``.
+
+    The outer form of explode keeps Spark from adding a filter on the size of the array, for which
+    it would build all terms a second time, ahead of the shuffle.
+    """
     return (
-        documents.select(key, F.explode(terms).alias("term"))
+        documents.select(key, F.explode_outer(terms).alias("term"))
+        .filter(F.col("term").isNotNull())
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("n"))
     )

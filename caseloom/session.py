@@ -52,11 +52,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """``df`` over all cores if its scan has fewer partitions than that, else ``df`` unchanged.
 
     For small inputs of costly narrow jobs.  Scans of large tables have partitions enough and are
-    never shuffled by this.  ``df`` must be a plain scan or a projection of one.
+    never shuffled by this.  ``scan`` is the table ``df`` reads, where ``df`` does more than read it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    partitions = (df if scan is None else scan).rdd.getNumPartitions()
+    return df.repartition(cores) if partitions < cores else df

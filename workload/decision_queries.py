@@ -196,21 +196,20 @@ RANKED_SQL = """SELECT ticket_id, doc_id, CAST(rank AS INTEGER) AS rank,
 
 @query("d6_rerank", RANKED_SQL, ("ranked",))
 def rerank(spark, sf_dir):
-    rows = selected(spark, sf_dir).select("ticket_id", F.posexplode("reranked").alias("at", "c"))
+    rows = V.unrolled(selected(spark, sf_dir), "reranked", "ticket_id")
     return rows.select(
         "ticket_id",
         "c.doc_id",
         "c.rank",
         F.round("c.adjusted_score", 6).alias("adjusted_score"),
-        (F.col("at") + 1).alias("place"),
+        "place",
     )
 
 
 def _evidence_rows(df):
-    rows = df.select("ticket_id", F.posexplode("evidence").alias("at", "c"))
-    return rows.select(
+    return V.unrolled(df, "evidence", "ticket_id").select(
         "ticket_id",
-        (F.col("at") + 1).alias("place"),
+        "place",
         "c.doc_id",
         "c.queue",
         "c.priority",
@@ -253,9 +252,8 @@ def same_queue_quota(spark, sf_dir):
 @query("d9_select_evidence")
 def select_evidence(spark, sf_dir):
     chosen = T.select_evidence(V.tickets(spark, sf_dir), candidates(spark, sf_dir))
-    rows = chosen.select("ticket_id", F.posexplode("evidence").alias("at", "c"))
-    return rows.select(
-        "ticket_id", (F.col("at") + 1).alias("place"), "c.doc_id", "c.resolution", "c.queue"
+    return V.unrolled(chosen, "evidence", "ticket_id").select(
+        "ticket_id", "place", "c.doc_id", "c.resolution", "c.queue"
     )
 
 

@@ -44,6 +44,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"))
 
 
+def unrolled(df: DataFrame, array: str, *keep: str) -> DataFrame:
+    """One row per array entry: ``keep``, ``place`` from 1, and the entry as ``c``.
+
+    The outer form keeps Spark from computing the array twice to filter on its size.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias("at", "c"))
+    return rows.filter(F.col("at").isNotNull()).select(
+        *keep, (F.col("at") + 1).alias("place"), "c"
+    )
+
+
 def pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
@@ -113,8 +124,8 @@ def ui_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Past incidents from documents, with their vectors."""
-    docs, vectors = documents(spark, sf_dir), table(spark, sf_dir, "embeddings")
-    joined = docs.join(vectors, docs.doc_id == vectors.vec_id)
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    joined = spread(docs.join(vectors, docs.doc_id == vectors.vec_id), scan=docs)
     return joined.select(
         docs.doc_id.cast("string").alias("doc_id"),
         F.col("text").alias("retrieval_text"),
