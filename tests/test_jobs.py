@@ -36,7 +36,7 @@ def test_manual_tickets_are_repeatable(spark):
 def test_stream(spark, tmp_path):
     source, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
     kb = spark.createDataFrame(
-        [(f"d{i}", [float(i), 1.0], f"incident {i}", "r", "INCIDENT", "QQ", "HIGH", ["t"], "x") for i in range(6)],
+        [(f"d{i}", [float(i), 1.0], "abcdef"[i] * 12, "r", "INCIDENT", "QQ", "HIGH", ["t"], "x") for i in range(6)],
         "doc_id string, embedding array<double>, issue_description string, resolution string, "
         "type string, queue string, priority string, tags array<string>, retrieval_text string",
     )
