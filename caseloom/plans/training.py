@@ -7,6 +7,7 @@ results are limited in size: the vocabulary by ``max_features``, the rest by the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -101,10 +102,7 @@ def fit_text_features(train: DataFrame, stage: Stage, stop_words: Sequence[str]
     terms = sorted(terms, key=lambda t: t["term"])
     if not terms:
         raise ValueError("no term is frequent enough to build a vocabulary")
-    idf_row = train.sparkSession.createDataFrame(
-        [(t["df"],) for t in terms], "df bigint"
-    ).select((F.log((F.lit(1.0) + n) / (F.col("df") + 1)) + 1).alias("idf"))
-    idf = [r["idf"] for r in idf_row.collect()]
+    idf = [math.log((1.0 + n) / (1.0 + t["df"])) + 1.0 for t in terms]
     return [
         *to_terms,
         CountVectorizerModel.from_vocabulary(

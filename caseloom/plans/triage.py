@@ -21,6 +21,7 @@ from caseloom.functions.display import (
 from caseloom.functions.render import build_prompt, fallback_decision, format_incidents
 from caseloom.functions.sections import parse_decision_output
 from caseloom.functions.text import build_query
+from caseloom.operators.clean import strip_upper
 from caseloom.operators.ranking import (
     PAYLOAD,
     candidates_per_query,
@@ -28,7 +29,6 @@ from caseloom.operators.ranking import (
     select_from,
     serialize_incident,
 )
-from caseloom.operators.clean import strip_upper
 from caseloom.operators.retrieval import knn_topk, overfetch_k, retrieved_incidents
 from caseloom.operators.voting import (
     confidence_score,
@@ -194,7 +194,7 @@ def triage(
         "recommended_priority", "ml_priority", "confidence_score", "confidence_level"
     )
     text = F.coalesce(F.col(decision_text), fallback) if decision_text else fallback
-    row = row.withColumn("parsed", parse_decision_output(text))
+    row = row.withColumn("document", text).withColumn("parsed", parse_decision_output("document"))
     outputs = {
         "input_issue": F.col("issue"),
         "input_type": F.col("type"),

@@ -11,35 +11,30 @@ from pyspark.sql import functions as F
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
     Only a local master, where driver and executors are one process, falls back to a fresh folder
-    of its own.
+    of its own, one per application.
     """
-    named = spark.sparkContext.getConf().get(CHECKPOINT_SETTING) or spark.conf.get(
-        CHECKPOINT_SETTING, None
-    )
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_SETTING, None) or context.getConf().get(CHECKPOINT_SETTING)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        fresh = tempfile.mkdtemp(prefix="caseloom-")
-        spark.conf.set(CHECKPOINT_SETTING, fresh)
-        return fresh
-    raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
+    if not context.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="caseloom-")
+    return _local_folders[context.applicationId]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def through_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, cutting its lineage there."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """``df`` as a broadcast side if it has at most ``max_rows`` rows, else ``df`` unchanged.
 

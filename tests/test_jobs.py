@@ -63,7 +63,6 @@ def test_stream(spark, tmp_path):
 def test_session_helpers(spark):
     assert session.shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
     df = spark.range(20)
-    assert session.through_table(df, "t").count() == 20
     assert session.broadcast_if_small(df, 5) is df
     assert session.broadcast_if_small(df, 50).count() == 20
     assert session.spread(spark.range(0, 4, 1, 2)).rdd.getNumPartitions() == 8

@@ -535,14 +535,32 @@ def triage_equal_text(spark, sf_dir):
     return _flat(T.triage(V.tickets(spark, sf_dir), candidates(spark, sf_dir, EQUAL)))
 
 
-@query("h3_triage_debug")
-def triage_debug(spark, sf_dir):
-    rows = T.triage(V.tickets(spark, sf_dir), candidates(spark, sf_dir), debug=True)
+def _debug_rows(spark, sf_dir, threshold):
+    rows = T.triage(V.tickets(spark, sf_dir), candidates(spark, sf_dir, threshold), debug=True)
     ids = lambda c: F.array_join(F.transform(c, lambda e: e["doc_id"]), ",").alias(c)
     arrays = [ids(c) for c in T.DEBUG_COLUMNS[:3]]
+    return rows, arrays
+
+
+@query("h3_triage_debug")
+def triage_debug(spark, sf_dir):
+    rows, arrays = _debug_rows(spark, sf_dir, NEAR)
     return _flat(rows, *arrays, "evidence_summary", F.md5("prompt").alias("prompt"))
 
 
+@query(
+    "h3_triage_debug_equal_text",
+    f"""SELECT a.ticket_id, r.raw_ids AS raw_retrieved_incidents, r.ranked_ids AS reranked_incidents,
+  a.evidence_ids AS deduplicated_incidents, {SUMMARY_SQL} AS evidence_summary
+FROM assessed a JOIN (SELECT ticket_id, string_agg(doc_id, ',' ORDER BY rank) AS raw_ids,
+    string_agg(doc_id, ',' ORDER BY pos) AS ranked_ids FROM ranked GROUP BY 1) r USING (ticket_id)""",
+    ("assessed",),
+)
+def triage_debug_equal_text(spark, sf_dir):
+    rows, arrays = _debug_rows(spark, sf_dir, EQUAL)
+    return rows.select("ticket_id", *arrays, "evidence_summary")
+
+
 @query(
     "h4_triage_no_retrieval",
     """SELECT ticket_id, type, queue, ml_priority, ml_priority AS recommended_priority,
@@ -583,9 +601,10 @@ def stream(spark, sf_dir):
     arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
     output = fresh_path(spark, "triage-stream")
     kb = V.knowledge_base(spark, sf_dir)
+    index = retrieval.prepare_index(kb)
 
     def find_candidates(vectors):
-        hits = V.other_hits(vectors, kb, retrieval.overfetch_k())
+        hits = V.other_hits(vectors, index, retrieval.overfetch_k())
         return T.retrieve_candidates(vectors, kb, threshold=EQUAL, hits=hits)
 
     running = triage_stream(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from caseloom import fixed_values as fixed
@@ -91,10 +90,10 @@ def normalize_tags(spark, sf_dir):
 
 
 def _text_pairs(spark, sf_dir):
-    """Each turn of a conversation with the turn before it."""
-    before = Window.partitionBy("conv_id").orderBy("turn")
-    turns = V.table(spark, sf_dir, "conversations")
-    return turns.withColumn("before", F.lag("text").over(before)).filter("before IS NOT NULL")
+    """Each turn of a conversation with the turn before it; a long conversation is no one group."""
+    turns = V.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
+    return turns.join(before, ["conv_id", "turn"])
 
 
 @query("c7_text_similarity_ratio")

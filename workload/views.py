@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caseloom.operators.retrieval import knn_topk
+from caseloom.operators.retrieval import Index, knn_topk
 from caseloom.session import spread
 
 ISSUES = (
@@ -146,7 +146,9 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def other_hits(vectors: DataFrame, kb: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+def other_hits(
+    vectors: DataFrame, kb: DataFrame | Index, k: int, metric: str = "cosine"
+) -> DataFrame:
     """Nearest incidents of each query vector, leaving out the incident it came from."""
     found = knn_topk(vectors, kb, k + 1, metric=metric).filter(
         F.col("doc_id") != F.col("query_id").cast("string")
