@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +12,6 @@ from caseloom.functions.text import col_of, strip
 from caseloom.session import broadcast_if_small
 
 MAX_BROADCAST_TERMS = 200_000
-RANKED_ROWS = 100_000
 
 # Our own keyword lists behind the engineered flags.
 KEYWORDS = {
@@ -47,18 +45,15 @@ def stratified_split(
     label: str = fixed.LABEL_COLUMN,
     test_fraction: float = 0.2,
     seed: int = 42,
-    hash_digits: int | None = None,
+    hash_digits: int = 4,
 ) -> DataFrame:
     """Add ``is_test``: exactly proportional per label and the same on every run.
 
     Within a label the test rows are the first ones by a keyed hash.  The cut is found on a
     histogram of hash prefixes, so no label is ever sorted as a whole: rows away from the cut are
-    decided where they are, and only the one prefix bucket holding the cut is ranked.  Prefixes are
-    as long as it takes to keep a bucket near ``RANKED_ROWS``.
+    decided where they are, and only the one prefix bucket holding the cut is ranked.  With four
+    hexadecimal digits that is one row in 65,536.
     """
-    if hash_digits is None:
-        buckets = max(1, df.count() // RANKED_ROWS)
-        hash_digits = min(8, 1 + math.ceil(math.log(buckets, 16)))
     prefix = F.substring(_split_order(key, seed), 1, hash_digits)
     histogram = df.groupBy(label, prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
     quotas = _test_quotas(histogram.groupBy(label).agg(F.sum("n").alias("n")), label, test_fraction)

@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
+# Rows here are cheap to move and costly to work on, so adaptive execution should merge shuffle
+# partitions only when they are really small.  On large data it has no effect.
+TUNING = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+}
+
 
 _local_folders: dict[str, str] = {}
 
