@@ -2,6 +2,7 @@
 
 from caseloom.llm import (  # noqa: F401
     exact_dedup,
+    simhash_dedup,
 )
 from caseloom.llm.registry import ORACLES, QUERIES
 
