@@ -1,6 +1,7 @@
 """All queries of this subpackage and their SQL."""
 
 from caseloom.llm import (  # noqa: F401
+    decontaminate,
     exact_dedup,
     simhash_dedup,
 )
