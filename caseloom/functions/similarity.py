@@ -42,8 +42,21 @@ def text_similarity_ratio(a: Column | str, b: Column | str) -> Column:
 def is_near_duplicate(
     a: Column | str, b: Column | str, threshold: float = fixed.NEAR_DUPLICATE_RATIO
 ) -> Column:
+    """Whether two texts reach the ratio: equal ones without Python, hopeless ones by their lengths."""
     na, nb = normalize_text(a), normalize_text(b)
-    return (na != "") & (nb != "") & (_ratio_udf(na, nb) >= threshold)
+    la, lb = F.length(na), F.length(nb)
+    hopeless = 2.0 * F.least(la, lb) < threshold * (la + lb) - 1e-6
+
+    @F.pandas_udf(T.BooleanType())
+    def near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        comparer = _Comparer(threshold)
+        for left, right in batches:
+            yield pd.Series([comparer.pair(x, y) for x, y in zip(left, right)], dtype=bool)
+
+    open_case = (na != "") & (nb != "") & (na != nb) & ~hopeless
+    # Only open cases carry their texts to Python.
+    asked = near(F.when(open_case, na), F.when(open_case, nb))
+    return F.when((na == "") | (nb == ""), False).when(na == nb, True).otherwise(asked)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -96,6 +109,18 @@ class _Comparer:
             return False
         return SequenceMatcher(None, a, b).ratio() >= self.threshold
 
+    def pair(self, a: str | None, b: str | None) -> bool:
+        """Outcome for one pair of different texts."""
+        if a is None or b is None:
+            return False
+        codes = [_codes(t) for t in (a, b)]
+        letters = [np.bincount(c, minlength=128)[:128] for c in codes]
+        if 2.0 * np.minimum(*letters).sum() < self.threshold * (len(a) + len(b)) - 1e-6:
+            return False
+        keys = [md5(c, usedforsecurity=False).digest() for c in codes]
+        self.texts = dict(zip(keys, (a, b)))
+        return self.outcome(*keys)
+
     def repeats(self, texts: Iterable[str]) -> list[list[int]]:
         """For each text the 1-based positions of the others it nearly repeats."""
         texts = list(texts)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from caseloom import fixed_values as fixed
 
 LABELS = ("HIGH", "LOW", "MEDIUM")
+MAX_LABELS = 1000
 
 
 def label_counts(df: DataFrame, label: str = fixed.LABEL_COLUMN) -> DataFrame:
@@ -110,9 +111,24 @@ def metrics_record(predictions: DataFrame, model: str | None = None) -> DataFram
     return record.withColumn("model", F.lit(model)) if model else record
 
 
-def confusion_matrix(predictions: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
-    """Actual labels down, predicted labels across; both in sorted order, absent ones as zeros."""
-    labels = sorted(labels)
+def labels_of(predictions: DataFrame) -> list[str]:
+    """All actual and predicted labels, sorted; a label column with more than ``MAX_LABELS`` is an error."""
+    sides = F.array("actual_priority", "predicted_priority")
+    found = predictions.select(F.explode(sides).alias("label")).filter("label is not null").distinct()
+    rows = found.limit(MAX_LABELS + 1).collect()
+    if len(rows) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    return sorted(r.label for r in rows)
+
+
+def confusion_matrix(predictions: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
+    """Actual labels down, predicted labels across; both in sorted order.
+
+    The labels are those of the rows; given ``labels`` are added to them, as zeros where absent.
+    """
+    labels = sorted({*labels_of(predictions), *(labels or ())})
+    if not labels:
+        return predictions.select("actual_priority").limit(0)
 
     def cell(actual: str, predicted: str) -> Column:
         here = (F.col("actual_priority") == actual) & (F.col("predicted_priority") == predicted)

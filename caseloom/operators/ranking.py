@@ -6,6 +6,8 @@ no shuffle per step, and nothing that depends on how often a query or a document
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from caseloom import fixed_values as fixed
 from caseloom.functions.similarity import near_duplicates
 from caseloom.functions.text import col_of, normalize_tag_list
 
+TEXTS = ("issue_description", "resolution", "retrieval_text")
 PAYLOAD = (
     "doc_id",
     "type",
@@ -25,16 +28,19 @@ PAYLOAD = (
 )
 
 
-def candidates_per_query(incidents: DataFrame, threshold: float | None) -> DataFrame:
-    """One row per query: its incidents by rank, each with the ranks it nearly repeats.
+def candidates_per_query(
+    incidents: DataFrame, threshold: float | None, with_texts: bool = True
+) -> DataFrame:
+    """One row per query: its incidents by rank, each with the places in that list it nearly repeats.
 
     Near-duplicates depend on the texts alone, so they are found once per query here and not once
-    per ticket.  ``threshold=None`` leaves them out.  Groups are as long as the retrieval limit.
+    per ticket.  ``threshold=None`` leaves them out.  ``with_texts=False`` leaves the incidents' texts out of
+    the candidates, for jobs that return none of them.  Groups are as long as the retrieval limit.
     Comparing texts costs far more than moving them, hence the fixed number of partitions, which
     adaptive execution does not merge by size.
     """
     partitions = int(incidents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fields = ["rank", "distance", *PAYLOAD]
+    fields = ["rank", "distance", *(c for c in PAYLOAD if with_texts or c not in TEXTS)]
     if threshold is not None:
         fields.append("normalized")
     gathered = (
@@ -58,6 +64,7 @@ def rerank(
     queue: Column | str,
     ticket_type: Column | str,
     predicted: Column | str,
+    payload: Sequence[str] = PAYLOAD,
 ) -> Column:
     """Candidates with ``adjusted_score``, best first; equal scores go by distance, then rank."""
     queue, ticket_type, predicted = col_of(queue), col_of(ticket_type), col_of(predicted)
@@ -76,10 +83,12 @@ def rerank(
         )
         return F.struct(
             adjusted.alias("adjusted_score"),
-            distance.alias("distance"),
+            distance.alias("sort_distance"),
             c["rank"].alias("rank"),
+            c["distance"].alias("distance"),
+            (at + 1).alias("place"),
             F.get(repeats, at).alias("repeats"),
-            *[c[f].alias(f) for f in PAYLOAD],
+            *[c[f].alias(f) for f in payload],
         )
 
     repeats = col_of(repeats)
@@ -104,7 +113,7 @@ def select_from(
     def visit(first_pass: bool):
         return lambda c: F.struct(
             F.lit(first_pass).alias("first_pass"),
-            c["rank"].alias("rank"),
+            c["place"].alias("place"),
             c["repeats"].alias("repeats"),
         )
 
@@ -121,8 +130,8 @@ def select_from(
     def step(state: Column, c: Column) -> Column:
         chosen = state["chosen"]
         stopped = F.when(c["first_pass"], state["first_done"]).otherwise(state["done"])
-        repeated = F.array_contains(chosen, c["rank"]) | F.arrays_overlap(chosen, c["repeats"])
-        after = F.when(stopped | repeated, chosen).otherwise(F.array_append(chosen, c["rank"]))
+        repeated = F.array_contains(chosen, c["place"]) | F.arrays_overlap(chosen, c["repeats"])
+        after = F.when(stopped | repeated, chosen).otherwise(F.array_append(chosen, c["place"]))
         return F.struct(
             after.alias("chosen"),
             F.when(c["first_pass"], F.size(after) >= first_limit)
@@ -134,7 +143,7 @@ def select_from(
         )
 
     chosen = F.aggregate(visits, start, step, lambda state: state["chosen"])
-    return F.transform(chosen, lambda r: F.get(F.filter(reranked, lambda c: c["rank"] == r), F.lit(0)))
+    return F.transform(chosen, lambda r: F.get(F.filter(reranked, lambda c: c["place"] == r), F.lit(0)))
 
 
 def serialize_incident(c: Column) -> Column:

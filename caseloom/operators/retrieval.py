@@ -11,7 +11,10 @@ give the same rows:
   Spark limits each group before that last shuffle.
 
 In both, candidates come from the matrix product and their final distance from a plain left-to-right
-sum over the dimensions, so equal vectors get equal distances and ties fall by document id.
+sum over the dimensions, so equal vectors get equal distances and ties fall by document id.  The product
+may be off by an error that grows with the lengths of the vectors; everything within a bound of that
+error counts as a candidate, so tile and block sizes never change the rows.  Pairs without a distance (a
+vector of zeros under cosine, a vector with NaN or infinity) are no neighbours in either plan.
 """
 
 from __future__ import annotations
@@ -74,25 +77,31 @@ def _distances(queries: np.ndarray, docs: np.ndarray, metric: str) -> np.ndarray
         total += queries[:, j] * docs[:, j]
         q_norm += queries[:, j] ** 2
         d_norm += docs[:, j] ** 2
-    return 1.0 - total / (np.sqrt(q_norm) * np.sqrt(d_norm))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return 1.0 - total / (np.sqrt(q_norm) * np.sqrt(d_norm))
 
 
 def _best(queries: np.ndarray, docs: np.ndarray, k: int, metric: str):
     """(query row, doc row, distance) of the ``k`` nearest docs per query, nearest first."""
-    products = queries @ docs.T
-    if metric == "l2sq":
-        near = (queries**2).sum(1)[:, None] + (docs**2).sum(1)[None, :] - 2.0 * products
-    else:
-        lengths = np.sqrt((queries**2).sum(1))[:, None] * np.sqrt((docs**2).sum(1))[None, :]
-        near = 1.0 - products / lengths
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        products = queries @ docs.T
+        q_sizes, d_sizes = (queries**2).sum(1), (docs**2).sum(1)
+        rounding = 8.0 * np.finfo(np.float64).eps * queries.shape[1]
+        if metric == "l2sq":
+            near = q_sizes[:, None] + d_sizes[None, :] - 2.0 * products
+            largest = d_sizes[np.isfinite(d_sizes)].max(initial=0.0)
+            slack = 2.0 * rounding * (q_sizes + largest)
+        else:
+            near = 1.0 - products / (np.sqrt(q_sizes)[:, None] * np.sqrt(d_sizes)[None, :])
+            slack = np.full(len(queries), 2.0 * rounding)
+    there = np.isfinite(near)
     if docs.shape[0] > k:
-        cut = np.partition(near, k - 1, axis=1)[:, k - 1]
-        # The product is off by rounding, so everything that close to the cut is a candidate.
-        slack = 1e-9 * (1.0 + np.abs(cut))
-        at_query, at_doc = np.nonzero(near <= (cut + slack)[:, None])
-    else:
-        at_query, at_doc = np.nonzero(np.ones_like(near, dtype=bool))
+        cut = np.partition(np.where(there, near, np.inf), k - 1, axis=1)[:, k - 1]
+        there &= near <= (cut + np.where(np.isfinite(slack), slack, 0.0))[:, None]
+    at_query, at_doc = np.nonzero(there)
     exact = _distances(queries[at_query], docs[at_doc], metric)
+    known = np.isfinite(exact)
+    at_query, at_doc, exact = at_query[known], at_doc[known], exact[known]
     order = np.lexsort((at_doc, exact, at_query))
     at_query, at_doc, exact = at_query[order], at_doc[order], exact[order]
     first = np.searchsorted(at_query, at_query, side="left")
@@ -254,7 +263,7 @@ def knn_topk(
     ``queries`` holds distinct ``query_id`` with an ``embedding``; ``kb`` holds ``doc_id`` and
     ``embedding``, or is an ``Index`` of it.  For each column in ``match_on`` a query's
     ``<column>_filter``, where given, restricts the rows before they are ranked.  Rows without a
-    vector take no part.
+    vector, or whose vector has no distance to the query, take no part.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -269,14 +278,50 @@ def knn_topk(
     return _knn_tiles(queries, index, k, metric, tile_rows)
 
 
+def filter_metadata(kb: DataFrame, **wanted: str | None) -> DataFrame:
+    """Knowledge-base rows whose fields have the wanted values; null or empty ones do not restrict."""
+    for column, value in wanted.items():
+        if value:
+            kb = kb.filter(F.col(column) == value)
+    return kb
+
+
+def matching_incidents(tickets: DataFrame, kb: DataFrame, match_on: Sequence[str]) -> DataFrame:
+    """How many incidents each ticket's filters leave to search in: tickets with ``incidents``, 0 included.
+
+    One pass counts incidents per combination of fields and of fields left open, so a filter a ticket
+    leaves empty costs no more than one it has.
+    """
+    keys = [F.col(c) for c in match_on]
+    given = [F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col(c)) for c in match_on]
+    open_ones = [F.grouping(c).alias(f"_open_{c}") for c in match_on]
+    counts = kb.cube(*keys).agg(F.count(F.lit(1)).alias("incidents"), *open_ones)
+    condition = F.lit(True)
+    asked = tickets.withColumns({f"_want_{c}": g for c, g in zip(match_on, given)})
+    for c in match_on:
+        left_open = F.col(f"_want_{c}").isNull().cast("tinyint")
+        asked = asked.withColumn(f"_left_{c}", left_open)
+    counts = counts.withColumnsRenamed({c: f"_kb_{c}" for c in match_on})
+    for c in match_on:
+        condition &= F.col(f"_left_{c}") == F.col(f"_open_{c}")
+        condition &= F.coalesce(f"_want_{c}", F.lit("")) == F.when(
+            F.col(f"_open_{c}") == 1, F.lit("")
+        ).otherwise(F.col(f"_kb_{c}"))
+    found = asked.join(counts, condition, "left")
+    return found.select(*tickets.columns, F.coalesce("incidents", F.lit(0)).alias("incidents"))
+
+
 def retrieved_incidents(hits: DataFrame, kb: DataFrame) -> DataFrame:
     """Hits with their knowledge-base fields, missing ones as empty text.
 
     ``normalized`` is the text near-duplicates are judged by, computed once per knowledge-base row.
     """
     text = ("issue_description", "resolution", "type", "queue", "priority")
-    fields = kb.select(
-        F.col("doc_id").cast("string").alias("doc_id"),
+    named = kb.withColumn("doc_id", F.col("doc_id").cast("string"))
+    # Only what was found is normalised and moved.
+    found = named.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    fields = found.select(
+        "doc_id",
         *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in text],
         F.coalesce(F.col("tags"), F.array().cast("array<string>")).alias("tags"),
         "retrieval_text",

@@ -38,6 +38,9 @@ def evidence_stats(evidence: Column | str, queue: Column | str) -> Column:
     total = F.aggregate(
         evidence, F.lit(0.0), lambda acc, e: acc + F.coalesce(e["distance"], F.lit(1.0))
     )
+    stated = F.aggregate(
+        evidence, F.lit(0.0), lambda acc, e: acc + F.coalesce(e["distance"], F.lit(0.0))
+    )
     strong_high = F.exists(
         evidence,
         lambda e: (e["priority"] == "HIGH")
@@ -48,7 +51,9 @@ def evidence_stats(evidence: Column | str, queue: Column | str) -> Column:
         majority["priority"].alias("majority_priority"),
         majority["count"].alias("majority_count"),
         F.size(F.filter(evidence, lambda e: e["queue"] == queue)).alias("same_queue_count"),
+        # Votes count a missing distance as far, the summary as none.
         F.when(n > 0, total / n).alias("avg_distance"),
+        F.when(n > 0, stated / n).alias("stated_distance"),
         strong_high.alias("strong_high"),
         F.array_join(
             F.transform(
@@ -99,7 +104,7 @@ def recommend_priority(
 
 def evidence_summary(stats: Column | str, predicted: Column | str) -> Column:
     s = col_of(stats)
-    distance = F.format_string("%.4f", s["avg_distance"])
+    distance = F.format_string("%.4f", s["stated_distance"])
     return fill_slots(
         fixed.EVIDENCE_SUMMARY_FORMAT,
         predicted=col_of(predicted),

@@ -67,6 +67,7 @@ STAGES = {
 }
 MODEL_NAMES = {"stage5": "LinearSVC"}
 ROWS_PER_PARTITION = 20_000
+MAX_ITER = 1000
 
 
 def term_stages(bigrams: bool, stop_words: Sequence[str] | None) -> list:
@@ -162,9 +163,12 @@ def train_model(
     train: DataFrame,
     stage_name: str,
     stop_words: Sequence[str] | None = None,
-    max_iter: int | None = None,
+    max_iter: int = MAX_ITER,
 ) -> PipelineModel:
-    """Fit a stage on cleaned training rows; the model adds ``predicted_priority``."""
+    """Fit a stage on cleaned training rows; the model adds ``predicted_priority``.
+
+    ``max_iter`` is the limit the five models share; fits end before it when they converge.
+    """
     stage = STAGES[stage_name]
     features = fit_features(train, stage, stop_words)
     labels = StringIndexer(
@@ -175,20 +179,21 @@ def train_model(
     )
     ready = labels.transform(features.transform(rows)).select("features", "_label", "class_weight")
     n = train.count()
-    # Every iteration visits every partition, so small training sets get few of them.
-    ready = ready.coalesce(max(1, n // ROWS_PER_PARTITION))
+    # Every iteration visits every partition, so finished features are dealt out to few of them where
+    # there are few rows; what leads up to them keeps its own partitions.
+    ready = ready.repartition(max(1, -(-n // ROWS_PER_PARTITION)))
     # Regularisation of strength C = 1: the weights of a training set sum to its row count.
     strength = 1.0 / n
     if stage.svm:
         binary = LinearSVC(
-            regParam=strength, maxIter=max_iter or 100, standardization=False
+            regParam=strength, maxIter=max_iter, standardization=False
         )
         classifier = OneVsRest(classifier=binary, parallelism=3)
     else:
         classifier = LogisticRegression(
             family="multinomial",
             regParam=strength,
-            maxIter=max_iter or 1000,
+            maxIter=max_iter,
             standardization=False,
         )
     classifier.setFeaturesCol("features").setLabelCol("_label").setPredictionCol("_predicted")
@@ -235,7 +240,7 @@ def train_and_score(
     stage_name: str,
     key: str,
     stop_words: Sequence[str] | None = None,
-    max_iter: int | None = None,
+    max_iter: int = MAX_ITER,
 ) -> tuple[PipelineModel, DataFrame]:
     """Clean, split, fit and score the test rows, which get ``actual_priority``."""
     cleaned = clean_tickets(raw, stage_name, keep=[key])

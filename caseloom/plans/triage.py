@@ -8,6 +8,7 @@ join at most, which adaptive execution splits.  Tickets without candidates keep
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,8 +115,10 @@ def select_evidence(
 ) -> DataFrame:
     """Tickets with ``reranked`` candidates and the chosen ``evidence``."""
     with_candidates = attach_candidates(tickets, candidates)
+    fields = with_candidates.schema["candidates"].dataType.elementType.names
+    payload = [c for c in PAYLOAD if c in fields]
     return with_candidates.withColumn(
-        "reranked", rerank("candidates", "repeats", "queue", "type", "ml_priority")
+        "reranked", rerank("candidates", "repeats", "queue", "type", "ml_priority", payload)
     ).withColumn("evidence", select_from("reranked", "queue", max_results=top_k))
 
 
@@ -182,14 +185,16 @@ def triage(
     guardrail: bool = True,
     debug: bool = False,
     decision_text: str | None = None,
+    model: PipelineModel | None = None,
 ) -> DataFrame:
     """The full response per ticket.
 
-    ``tickets`` has (ticket_id, issue, type, queue, ml_priority, query_key); ``candidates`` comes
+    ``tickets`` has (ticket_id, issue, type, queue, query_key) and ``ml_priority``, unless a ``model`` is
+    given, which then predicts it from the normalised request; ``candidates`` comes
     from ``retrieve_candidates``, or is None to work without retrieval.  ``decision_text`` names a
     ticket column with generated text; tickets without one get the fallback document.
     """
-    row = assess(select_evidence(tickets, candidates, top_k), guardrail)
+    row = assess(select_evidence(predicted(tickets, model), candidates, top_k), guardrail)
     fallback = fallback_decision(
         "recommended_priority", "ml_priority", "confidence_score", "confidence_level"
     )
@@ -245,10 +250,20 @@ def triage_report_text(
     )
 
 
+def predicted(tickets: DataFrame, model: PipelineModel | None) -> DataFrame:
+    """Normalised tickets with the ``ml_priority`` a model gives them; as they are without a model."""
+    if model is None:
+        return tickets
+    from caseloom.plans.training import predict_priority
+
+    return predict_priority(model, normalize_requests(tickets.drop("ml_priority")))
+
+
 def predict_and_retrieve(
-    tickets: DataFrame, candidates: DataFrame | None
+    tickets: DataFrame, candidates: DataFrame | None, model: PipelineModel | None = None
 ) -> DataFrame:
     """Predicted priority, query text and retrieved incidents of each ticket."""
+    tickets = predicted(tickets, model)
     query = (
         F.lit("") if candidates is None else build_query("issue", "type", "queue")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.operators.retrieval import embed_text
+from caseloom.operators.retrieval import embed_text, knn_topk
 
 TEXT_FIELDS = (
     "doc_id",
@@ -89,3 +89,27 @@ def verify_incident_memory(memory: DataFrame) -> DataFrame:
         F.max(dims).alias("dim_max"),
         F.least(F.count(probe), F.lit(1)).alias("probe_hits"),
     )
+
+
+def check_incident_memory(spark: SparkSession, path: str) -> DataFrame:
+    """One row ``valid, reason``: whether a search in the table at ``path`` finds anything.
+
+    The probe is a real search, with the vector of one of the table's own rows.
+    """
+
+    def answer(reason: str | None) -> DataFrame:
+        row = [(reason is None, reason or "ok")]
+        return spark.createDataFrame(row, "valid boolean, reason string")
+
+    try:
+        memory = open_incident_memory(spark, path)
+    except FileNotFoundError:
+        return answer("no incident table")
+    if "embedding" not in memory.columns:
+        return answer("no vectors")
+    if memory.isEmpty():
+        return answer("no incidents")
+    probe = memory.filter("embedding is not null").limit(1).select(F.lit(0).alias("query_id"), "embedding")
+    if probe.isEmpty():
+        return answer("no vectors")
+    return answer(None if not knn_topk(probe, memory, 1).isEmpty() else "the search finds nothing")

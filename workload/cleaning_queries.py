@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caseloom import fixed_values as fixed
 from caseloom.functions import display, text
 from caseloom.operators import clean, ranking, requests
-from caseloom.operators.retrieval import retrieved_incidents
+from caseloom.operators.retrieval import matching_incidents, retrieved_incidents
 from caseloom.sources.knowledge_base import flatten_kb_metadata
 from workload import sql as S
 from workload import views as V
@@ -108,26 +108,28 @@ _clean_query("stage4", f"issue_description, type, queue, {NUMBERS}, priority", "
 _clean_query("stage5", "issue_description, type, queue, priority", "cleaned")
 
 
-@query("b8_flatten_kb_metadata", KB_SQL, ("kb",))
+@query("b8_flatten_kb_metadata", KB_SQL, ("kb_all",))
 def flatten_metadata(spark, sf_dir):
-    return flatten_kb_metadata(V.knowledge_base(spark, sf_dir)).select(*KB_FIELDS)
+    return flatten_kb_metadata(V.all_incidents(spark, sf_dir)).select(*KB_FIELDS)
 
 
 @query(
     "b9_filter_metadata",
-    """SELECT t.ticket_id, k.incidents FROM tickets t
-JOIN (SELECT queue, type, count(*) AS incidents FROM kb GROUP BY 1, 2) k
-  ON k.queue = t.queue AND k.type = t.type""",
-    ("tickets", "kb"),
+    """SELECT t.ticket_id, (SELECT count(*) FROM kb_all k
+    WHERE (t.ticket_id % 3 = 0 OR k.queue = t.queue) AND (t.ticket_id % 4 = 0 OR k.type = t.type)) AS incidents
+FROM tickets t""",
+    ("tickets", "kb_all"),
 )
 def filter_metadata(spark, sf_dir):
-    """Incidents a ticket's queue and type filters leave to search in."""
-    groups = (
-        V.knowledge_base(spark, sf_dir)
-        .groupBy("queue", "type")
-        .agg(F.count(F.lit(1)).alias("incidents"))
+    """Incidents a ticket's queue and type filters leave to search in; some tickets leave one open."""
+    key = F.col("ticket_id")
+    tickets = V.tickets(spark, sf_dir).select(
+        "ticket_id",
+        F.when(key % 3 != 0, F.col("queue")).alias("queue"),
+        F.when(key % 4 != 0, F.col("type")).otherwise("").alias("type"),
     )
-    return V.tickets(spark, sf_dir).join(groups, ["queue", "type"]).select("ticket_id", "incidents")
+    found = matching_incidents(tickets, V.all_incidents(spark, sf_dir), ["queue", "type"])
+    return found.select("ticket_id", "incidents")
 
 
 REJECT_SQL = f"""SELECT ticket_id, issue, type, queue,

@@ -15,6 +15,7 @@ from caseloom.session import fresh_path
 from caseloom.streaming.triage_stream import triage_stream
 from workload import sql as S
 from workload import views as V
+from workload.learning_queries import fitted
 from workload.registry import query
 from workload.source_queries import evaluation_sql, query_text_sql
 
@@ -36,8 +37,7 @@ def light_candidates(spark, sf_dir, threshold=EQUAL):
     """Candidates for the jobs that return no incident text."""
     hits = V.hits(spark, sf_dir, retrieval.overfetch_k())
     found = retrieval.retrieved_incidents(hits, V.knowledge_base(spark, sf_dir))
-    nothing = {c: F.lit("") for c in ("issue_description", "resolution", "retrieval_text")}
-    return ranking.candidates_per_query(found.withColumns(nothing), threshold)
+    return ranking.candidates_per_query(found, threshold, with_texts=False)
 
 
 def selected(spark, sf_dir, threshold=EQUAL):
@@ -462,17 +462,28 @@ def triage_core(spark, sf_dir):
 @query(
     "h1_predict_and_retrieve",
     f"""SELECT t.ticket_id, t.issue AS issue_description, t.type, t.queue,
-  t.ml_priority AS predicted_priority, {query_text_sql()} AS retrieval_query, h.incidents
-FROM tickets t LEFT JOIN (SELECT query_id, string_agg(doc_id, ',' ORDER BY rank) AS incidents
-  FROM cos_hits GROUP BY 1) h ON h.query_id = t.query_key""",
+  t.ml_priority AS predicted_priority, {query_text_sql()} AS retrieval_query, h.incidents, h.texts
+FROM tickets t LEFT JOIN (SELECT query_id, string_agg(doc_id, ',' ORDER BY rank) AS incidents,
+    string_agg(md5(k.issue_description || k.resolution || k.retrieval_text), ',' ORDER BY rank) AS texts
+  FROM cos_hits JOIN kb k USING (doc_id) GROUP BY 1) h ON h.query_id = t.query_key""",
     ("tickets", "cos_hits"),
 )
 def predict_and_retrieve(spark, sf_dir):
-    rows = T.predict_and_retrieve(
-        V.tickets(spark, sf_dir), light_candidates(spark, sf_dir, None)
-    )
+    rows = T.predict_and_retrieve(V.tickets(spark, sf_dir), candidates(spark, sf_dir, None))
     ids = F.transform("retrieved_incidents", lambda c: c["doc_id"])
-    return rows.withColumn("incidents", F.array_join(ids, ",")).drop("retrieved_incidents")
+    said = ("issue_description", "resolution", "retrieval_text")
+    texts = F.transform("retrieved_incidents", lambda c: F.md5(F.concat(*[c[f] for f in said])))
+    return rows.withColumns(
+        {"incidents": F.array_join(ids, ","), "texts": F.array_join(texts, ",")}
+    ).drop("retrieved_incidents")
+
+
+@query("h2_triage_with_model")
+def triage_with_model(spark, sf_dir):
+    """Fit the last model, predict inside the triage of all tickets."""
+    model, _ = fitted(spark, sf_dir, "stage5")
+    tickets = V.tickets(spark, sf_dir).drop("ml_priority")
+    return _flat(T.triage(tickets, candidates(spark, sf_dir), model=model), "ml_predicted_priority")
 
 
 def _flat(responses, *more):
@@ -583,7 +594,7 @@ def triage_report_text(spark, sf_dir):
     generated = V.generated_text(F.col("ml_priority"), F.lit("Medium"), F.col("ticket_id"))
     return T.triage_report_text(
         tickets.withColumn("text", generated),
-        light_candidates(spark, sf_dir, EQUAL),
+        candidates(spark, sf_dir, EQUAL),
         decision_text="text",
     )
 
@@ -645,7 +656,7 @@ FROM (SELECT a.*, x.similarities, {RESPONSE_TEXT_SQL} AS text FROM assessed a
     ("assessed",),
 )
 def to_analysis_result(spark, sf_dir):
-    responses = T.triage(V.tickets(spark, sf_dir), light_candidates(spark, sf_dir, EQUAL))
+    responses = T.triage(V.tickets(spark, sf_dir), candidates(spark, sf_dir, EQUAL))
     result = T.to_analysis_result(responses)
     similar = "similar_incidents"
     return result.select(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 from pyspark.sql import functions as F
 
@@ -218,7 +217,7 @@ def tfidf(spark, sf_dir):
     ("cleaned_numbers",),
 )
 def standard_scale(spark, sf_dir):
-    rows = cleaned(spark, sf_dir, "stage4").select("row_id", *fixed.NUMERIC_COLUMNS).persist()
+    rows = cleaned(spark, sf_dir, "stage4").select("row_id", *fixed.NUMERIC_COLUMNS)
     scaled = features.standard_scale(rows)
     return scaled.select("row_id", *[F.round(c, 5).alias(c) for c in fixed.NUMERIC_COLUMNS])
 
@@ -253,18 +252,11 @@ def engineered_features(spark, sf_dir):
     return features.engineered_features(docs, "text").drop("text")
 
 
-# --- F: models.  One fit per stage and data folder serves every query on it.
-
-
-@lru_cache(maxsize=16)
-def _fitted(application: str, spark, sf_dir: str, stage: str):
-    return training.train_and_score(
-        V.training_rows(spark, sf_dir), stage, "row_id", V.STOP_WORDS, max_iter=50
-    )
+# --- F: models.  Every query fits its own, on all rows.
 
 
 def fitted(spark, sf_dir, stage):
-    return _fitted(spark.sparkContext.applicationId, spark, sf_dir, stage)
+    return training.train_and_score(V.training_rows(spark, sf_dir), stage, "row_id", V.STOP_WORDS)
 
 
 def _scored(spark, sf_dir, stage):

@@ -45,33 +45,33 @@ def ticket_table_shape(spark, sf_dir):
     return tickets.table_shape(tickets.read_tickets_csv(spark, path, "stage3"))
 
 
-KB_SQL = """SELECT doc_id, source, issue_description, resolution, type, queue, priority,
-  array_to_string(tags, ', ') AS tags FROM kb"""
+KB_SQL = """SELECT doc_id, source, issue_description, resolution, type, coalesce(queue, '') AS queue, priority,
+  array_to_string(tags, ', ') AS tags FROM kb_all"""
 KB_FIELDS = (
     "doc_id", "source", "issue_description", "resolution", "type", "queue", "priority", "tags",
 )
 
 
-@query("a2_scan_kb_jsonl", KB_SQL, ("kb",))
+@query("a2_scan_kb_jsonl", KB_SQL, ("kb_all",))
 def scan_kb_jsonl(spark, sf_dir):
     path = fresh_path(spark, "kb-jsonl")
-    V.knowledge_base(spark, sf_dir).drop("embedding").write.json(path)
+    V.all_incidents(spark, sf_dir).drop("embedding").write.json(path)
     records = knowledge_base.read_kb_jsonl(spark, path)
     return knowledge_base.flatten_kb_metadata(records).select(*KB_FIELDS)
 
 
 def _written_memory(spark, sf_dir):
     path = fresh_path(spark, "incident-memory")
-    flat = knowledge_base.flatten_kb_metadata(V.knowledge_base(spark, sf_dir))
+    flat = knowledge_base.flatten_kb_metadata(V.all_incidents(spark, sf_dir))
     knowledge_base.write_incident_memory(flat, path)
     return path
 
 
 @query(
     "a3_scan_incident_memory",
-    """SELECT queue, type, count(*) AS incidents, CAST(sum(len(tags)) AS BIGINT) AS tags
-FROM kb GROUP BY queue, type""",
-    ("kb",),
+    """SELECT coalesce(queue, '') AS queue, type, count(*) AS incidents, CAST(sum(len(tags)) AS BIGINT) AS tags
+FROM kb_all GROUP BY 1, 2""",
+    ("kb_all",),
 )
 def scan_incident_memory(spark, sf_dir):
     memory = knowledge_base.open_incident_memory(spark, _written_memory(spark, sf_dir))
@@ -85,15 +85,31 @@ def scan_incident_memory(spark, sf_dir):
     """SELECT true AS table_exists, count(*) AS n_rows,
   count(*) FILTER (WHERE embedding IS NULL) AS n_null_vectors,
   CAST(min(len(embedding)) AS INTEGER) AS dim_min, CAST(max(len(embedding)) AS INTEGER) AS dim_max,
-  least(count(embedding), 1) AS probe_hits FROM kb""",
-    ("kb",),
+  least(count(embedding), 1) AS probe_hits FROM kb_all""",
+    ("kb_all",),
 )
 def verify_incident_memory(spark, sf_dir):
     memory = knowledge_base.open_incident_memory(spark, _written_memory(spark, sf_dir))
     return knowledge_base.verify_incident_memory(memory)
 
 
-@query("a5_write_incident_memory", KB_SQL, ("kb",))
+@query(
+    "a4_check_incident_memory",
+    """SELECT * FROM (VALUES ('missing', false, 'no incident table'), ('empty', false, 'no incidents'),
+  ('present', true, 'ok')) c(name, valid, reason) WHERE (SELECT count(embedding) FROM kb_all) > 0""",
+    ("kb_all",),
+)
+def check_incident_memory(spark, sf_dir):
+    """The answer for a table that is there, one without rows and one that is missing."""
+    path = _written_memory(spark, sf_dir)
+    empty = fresh_path(spark, "incident-memory-empty")
+    spark.read.parquet(path).limit(0).write.parquet(empty)
+    places = {"present": path, "empty": empty, "missing": fresh_path(spark, "no-incident-memory")}
+    rows = [knowledge_base.check_incident_memory(spark, p).withColumn("name", F.lit(n)) for n, p in places.items()]
+    return rows[0].union(rows[1]).union(rows[2]).select("name", "valid", "reason")
+
+
+@query("a5_write_incident_memory", KB_SQL, ("kb_all",))
 def write_incident_memory(spark, sf_dir):
     return spark.read.parquet(_written_memory(spark, sf_dir)).select(*KB_FIELDS)
 

@@ -118,6 +118,14 @@ FROM tickets""",
 FROM tickets""",
     ),
     "kb": (
+        ("kb_all",),
+        f"""SELECT doc_id || mark AS doc_id, retrieval_text || more AS retrieval_text, source,
+  issue_description || more AS issue_description, resolution, type, queue, priority, tags, embedding
+FROM kb_all, (VALUES (0, '', ''), (1, '-copy', ''), (2, '-near', {lit(views.NEAR_WORDS)})) c(n, mark, more)
+WHERE embedding IS NOT NULL
+  AND (n = 0 OR (n = 1 AND CAST(doc_id AS BIGINT) % 4 = 0) OR (n = 2 AND CAST(doc_id AS BIGINT) % 5 = 1))""",
+    ),
+    "kb_all": (
         (),
         f"""SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, d.text AS retrieval_text, d.source,
   d.text AS issue_description,
@@ -126,7 +134,7 @@ FROM tickets""",
   {text_list(views.QUEUES)}[e.label % 4 + 1] AS queue,
   ['HIGH', 'MEDIUM', 'LOW'][d.doc_id % 3 + 1] AS priority,
   [d.lang, d.source] AS tags, e.embedding
-FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id""",
+FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id""",
     ),
     "cos_hits": (
         ("kb",),
@@ -138,7 +146,7 @@ FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id""",
         / (sqrt(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))
          * sqrt(list_inner_product(CAST(k.embedding AS DOUBLE[]), CAST(k.embedding AS DOUBLE[]))))
         AS distance
-    FROM embeddings q JOIN kb k ON k.doc_id <> CAST(q.vec_id AS VARCHAR))
+    FROM embeddings q JOIN kb k ON string_split(k.doc_id, '-')[1] <> CAST(q.vec_id AS VARCHAR))
 ) WHERE rank <= 9""",
     ),
     "l2_hits": (
@@ -149,7 +157,7 @@ FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id""",
   FROM (SELECT q.vec_id AS query_id, k.doc_id,
       power(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(k.embedding AS DOUBLE[])), 2)
         AS distance
-    FROM embeddings q JOIN kb k ON k.doc_id <> CAST(q.vec_id AS VARCHAR))
+    FROM embeddings q JOIN kb k ON string_split(k.doc_id, '-')[1] <> CAST(q.vec_id AS VARCHAR))
 ) WHERE rank <= 9""",
     ),
     # Reranked candidates of each ticket, with a key per distinct normalised text.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from caseloom import fixed_values as fixed
@@ -102,10 +103,47 @@ def text_similarity_ratio(spark, sf_dir):
     return _text_pairs(spark, sf_dir).select("conv_id", "turn", F.round(ratio, 6).alias("ratio"))
 
 
+PAIR_CHARS = 40
+
+
+def _document_pairs(spark, sf_dir):
+    """Each document with the one before it, by id, among those that begin alike."""
+    docs = V.documents(spark, sf_dir).select("doc_id", "text", text.normalize_text("text").alias("plain"))
+    beginning = Window.partitionBy(F.md5(F.substring("plain", 1, PAIR_CHARS))).orderBy("doc_id")
+    paired = docs.withColumns(
+        {"before_id": F.lag("doc_id").over(beginning), "before": F.lag("text").over(beginning)}
+    )
+    return paired.filter(F.col("before_id").isNotNull())
+
+
 @query("c8_is_near_duplicate")
 def is_near_duplicate(spark, sf_dir):
     same = similarity.is_near_duplicate("text", "before")
-    return _text_pairs(spark, sf_dir).select("conv_id", "turn", same.alias("near_duplicate"))
+    return _document_pairs(spark, sf_dir).select("doc_id", "before_id", same.alias("near_duplicate"))
+
+
+@query(
+    "c7_text_similarity_bounds",
+    f"""SELECT doc_id, before_id, plain = before AS is_one, true AS within_lengths,
+  plain = before AND plain <> '' AS equal_and_near
+FROM (SELECT doc_id, plain, lag(doc_id) OVER p AS before_id, lag(plain) OVER p AS before
+  FROM (SELECT doc_id, {S.norm("text")} AS plain FROM documents)
+  WINDOW p AS (PARTITION BY substr(plain, 1, {PAIR_CHARS}) ORDER BY doc_id)) WHERE before_id IS NOT NULL""",
+)
+def text_similarity_bounds(spark, sf_dir):
+    """What SQL can say of the ratio: it is 1 for equal texts only, and the lengths bound it."""
+    pairs = _document_pairs(spark, sf_dir).withColumns(
+        {"ratio": similarity.text_similarity_ratio("text", "before"), "before": text.normalize_text("before")}
+    )
+    short, both = F.least(F.length("plain"), F.length("before")), F.length("plain") + F.length("before")
+    equal = F.col("plain") == F.col("before")
+    return pairs.select(
+        "doc_id",
+        "before_id",
+        (F.col("ratio") == 1.0).alias("is_one"),
+        (F.col("ratio") * both <= 2 * short + 1e-6).alias("within_lengths"),
+        (equal & similarity.is_near_duplicate("plain", "before")).alias("equal_and_near"),
+    )
 
 
 SCORE = "(event_id % 101) / 100.0"

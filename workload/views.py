@@ -34,6 +34,7 @@ QUEUE_OF_EVENT = {
     "signup": "CUSTOMER SERVICE",
 }
 OTHER_QUEUE = "PRODUCT SUPPORT"
+NEAR_WORDS = " once more"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,9 +124,30 @@ def ui_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Past incidents from documents, with their vectors."""
+    """Past incidents that have a vector; every fourth once more in the same words, every fifth once
+    more with a few words added, so that near-duplicates meet in most searches."""
+    found = all_incidents(spark, sf_dir).filter(F.col("embedding").isNotNull())
+    key = F.col("doc_id").cast("bigint")
+    copies = F.array(
+        F.struct(F.lit("").alias("mark"), F.lit("").alias("more")),
+        F.when(key % 4 == 0, F.struct(F.lit("-copy").alias("mark"), F.lit("").alias("more"))),
+        F.when(key % 5 == 1, F.struct(F.lit("-near").alias("mark"), F.lit(NEAR_WORDS).alias("more"))),
+    )
+    rows = found.withColumn("copy", F.explode(F.array_compact(copies)))
+    said = F.concat("issue_description", "copy.more")
+    return rows.withColumns(
+        {
+            "doc_id": F.concat("doc_id", "copy.mark"),
+            "retrieval_text": said,
+            "issue_description": said,
+        }
+    ).drop("copy")
+
+
+def all_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Past incidents from all documents, with the vectors of those that have one."""
     docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    joined = spread(docs.join(vectors, docs.doc_id == vectors.vec_id), scan=docs)
+    joined = spread(docs.join(vectors, docs.doc_id == vectors.vec_id, "left"), scan=docs)
     return joined.select(
         docs.doc_id.cast("string").alias("doc_id"),
         F.col("text").alias("retrieval_text"),
@@ -149,9 +171,9 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def other_hits(
     vectors: DataFrame, kb: DataFrame | Index, k: int, metric: str = "cosine"
 ) -> DataFrame:
-    """Nearest incidents of each query vector, leaving out the incident it came from."""
-    found = knn_topk(vectors, kb, k + 1, metric=metric).filter(
-        F.col("doc_id") != F.col("query_id").cast("string")
+    """Nearest incidents of each query vector, leaving out the incident it came from and its copies."""
+    found = knn_topk(vectors, kb, k + 3, metric=metric).filter(
+        F.substring_index("doc_id", "-", 1) != F.col("query_id").cast("string")
     )
     nearest = Window.partitionBy("query_id").orderBy("rank")
     return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
