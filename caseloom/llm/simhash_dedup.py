@@ -231,10 +231,8 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, ti
     return shards.mapInArrow(run, "u long, v long")
 
 
-def near_duplicate_groups(
-    df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, radius: int = RADIUS, **sizes
-) -> DataFrame:
-    """One row per row of ``df``: ``doc_id, fingerprint, component_id``."""
+def _grouped(df: DataFrame, key: str, text: str, words: int, radius: int, **sizes) -> DataFrame:
+    """``doc_id, fp, component_id`` of every row of ``df``."""
     docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     marked = keep(with_simhash(docs, "text", "fp", words, without=("text",)), "simhash-docs")
     fps = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-fps")
@@ -244,18 +242,31 @@ def near_duplicate_groups(
     )
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = placed.join(lows, "root").select("fp", "component_id")
-    return marked.join(ids, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
+def near_duplicate_groups(
+    df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, radius: int = RADIUS, **sizes
+) -> DataFrame:
+    """One row per row of ``df``: ``doc_id, fingerprint, component_id``."""
+    shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return _grouped(df, key, text, words, radius, **sizes).select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(
     df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, radius: int = RADIUS
 ) -> DataFrame:
-    """``df`` with one document of each group: the one with the smallest id; rows of one id are one document."""
-    groups = near_duplicate_groups(df, key, text, words, radius)
-    gone = groups.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias(free_name(df, "gone"))).distinct()
-    return df.join(gone, df[key].eqNullSafe(gone[gone.columns[0]]), "left_anti")
+    """``df`` with one document of each group: the one with the smallest id.
+
+    Rows of a group that share that id (or have none, in a group without ids) are one document and stay
+    together; an id that stands in several groups is judged in each on its own.
+    """
+    mark = free_name(df, "simhash")
+    gone = _grouped(df, key, text, words, radius).filter("not (doc_id <=> component_id)")
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("fp").alias("gone_fp")).distinct()
+    marked = with_simhash(df, text, mark, words)
+    same = (marked[mark] == gone.gone_fp) & marked[key].eqNullSafe(gone.gone_id)
+    return marked.join(gone, same, "left_anti").select(*df.columns)
 
 
 @query("op3_simhash_near_dedup")
