@@ -68,6 +68,7 @@ STAGES = {
 MODEL_NAMES = {"stage5": "LinearSVC"}
 ROWS_PER_PARTITION = 20_000
 MAX_ITER = 1000
+TOLERANCE = 1e-4
 
 
 def term_stages(bigrams: bool, stop_words: Sequence[str] | None) -> list:
@@ -167,7 +168,7 @@ def train_model(
 ) -> PipelineModel:
     """Fit a stage on cleaned training rows; the model adds ``predicted_priority``.
 
-    ``max_iter`` is the limit the five models share; fits end before it when they converge.
+    ``max_iter`` is the limit the five models share; fits end before it when they converge to ``TOLERANCE``.
     """
     stage = STAGES[stage_name]
     features = fit_features(train, stage, stop_words)
@@ -186,7 +187,7 @@ def train_model(
     strength = 1.0 / n
     if stage.svm:
         binary = LinearSVC(
-            regParam=strength, maxIter=max_iter, standardization=False
+            regParam=strength, maxIter=max_iter, tol=TOLERANCE, standardization=False
         )
         classifier = OneVsRest(classifier=binary, parallelism=3)
     else:
@@ -194,6 +195,7 @@ def train_model(
             family="multinomial",
             regParam=strength,
             maxIter=max_iter,
+            tol=TOLERANCE,
             standardization=False,
         )
     classifier.setFeaturesCol("features").setLabelCol("_label").setPredictionCol("_predicted")
