@@ -36,6 +36,7 @@ DIM = 12
 SAMPLE_PER_LANG = 1200
 MAX_LANGS = 200
 WINDOW_WORDS = (2, 5, 12, 40)
+STEPS = 600
 REJECT_RATE = 0.001
 BLOCK = 1 << 18
 
@@ -133,8 +134,11 @@ class Model:
         ]
 
 
-def train(examples: list[tuple[bytes, str]], epochs: int = 3, batch: int = 64, rate: float = 12.0, seed: int = 7) -> Model:
-    """Fit embeddings and softmax by SGD, then temperature and threshold on the part kept out."""
+def train(examples: list[tuple[bytes, str]], steps: int = STEPS, batch: int = 64, rate: float = 12.0, seed: int = 7) -> Model:
+    """Fit embeddings and softmax by SGD, then temperature and threshold on the part kept out.
+
+    At least three passes over the examples, and more where those are fewer than ``steps`` steps.
+    """
     langs = sorted({lang for _, lang in examples})
     if not langs:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0))
@@ -152,7 +156,9 @@ def train(examples: list[tuple[bytes, str]], epochs: int = 3, batch: int = 64, r
         fit = np.flatnonzero(usable)
     emb = rng.normal(0, 1 / DIM, (BUCKETS, DIM))
     weights, bias = rng.normal(0, 1 / DIM, (DIM, len(langs))), np.zeros(len(langs))
-    total, done = max(1, epochs * -(-len(fit) // batch)), 0
+    per_epoch = max(1, -(-len(fit) // batch))
+    epochs = max(3, -(-steps // per_epoch))
+    total, done = epochs * per_epoch, 0
     for _ in range(epochs):
         order = rng.permutation(fit)
         for a in range(0, len(order), batch):
