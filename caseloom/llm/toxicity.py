@@ -5,7 +5,7 @@ each distinct text once:
 
 * *Log-odds with a Dirichlet prior.*  Documents are counted per word, in toxic and in other texts; the
   prior is ``PRIOR`` times the counts of both together.  Words whose log-odds are at least ``MIN_Z``
-  standard deviations above zero make the lexicon; a word that one document repeats counts once.  The
+  standard deviations above zero, and at least ``MIN_ODDS``, make the lexicon; a word that one document repeats counts once.  The
   beginnings of words (``STEMS`` bytes) are counted and kept in the same way, for inflected words; a
   token scores by the longest of its forms that the lexicon has.
 * Other tokens score the log-ratio of their rates outside and inside toxic texts, a small negative
@@ -43,7 +43,8 @@ from caseloom.llm.registry import query
 
 LABELLED_ROWS = 12_000
 PRIOR = 0.02
-MIN_Z = 2.5
+MIN_Z = 1.9
+MIN_ODDS = 3.5
 MAX_SCORE = 8.0
 STEMS = (10, 9, 8, 7, 6, 5)
 MAX_EXPECTED = 0.01
@@ -164,7 +165,7 @@ def log_odds(toxic: Counter, other: Counter, prior: float = PRIOR, min_z: float
         o = other.get(word, 0)
         a, whole = prior * (t + o), prior * (nt + no)
         delta = math.log((t + a) / (nt + whole - t - a)) - math.log((o + a) / (no + whole - o - a))
-        if delta >= min_z * math.sqrt(1 / (t + a) + 1 / (o + a)):
+        if delta >= MIN_ODDS and delta >= min_z * math.sqrt(1 / (t + a) + 1 / (o + a)):
             out[word] = min(delta, MAX_SCORE)
     return out
 
