@@ -111,35 +111,36 @@ def metrics_record(predictions: DataFrame, model: str | None = None) -> DataFram
     return record.withColumn("model", F.lit(model)) if model else record
 
 
-def labels_of(predictions: DataFrame) -> list[str]:
-    """All actual and predicted labels, sorted; a label column with more than ``MAX_LABELS`` is an error."""
-    sides = F.array("actual_priority", "predicted_priority")
-    found = predictions.select(F.explode(sides).alias("label")).filter("label is not null").distinct()
+def labels_of(predictions: DataFrame, side: str) -> set[str]:
+    """All labels in one column; more than ``MAX_LABELS`` are an error."""
+    found = predictions.select(F.col(side).alias("label")).filter("label is not null").distinct()
     rows = found.limit(MAX_LABELS + 1).collect()
     if len(rows) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
-    return sorted(r.label for r in rows)
+        raise ValueError(f"{side} has more than {MAX_LABELS} labels")
+    return {r.label for r in rows}
 
 
-def confusion_matrix(predictions: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
-    """Actual labels down, predicted labels across; both in sorted order.
+def confusion_matrix(predictions: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
+    """Actual labels down, predicted labels across, both in sorted order.
 
-    The labels are those of the rows; given ``labels`` are added to them, as zeros where absent.
+    Down go the labels that occur, across those and what else was predicted, so no row is left out;
+    ``labels`` stand on both sides, as zeros where absent.
     """
-    labels = sorted({*labels_of(predictions), *(labels or ())})
-    if not labels:
+    down = sorted({*labels, *labels_of(predictions, "actual_priority")})
+    across = sorted({*down, *labels_of(predictions, "predicted_priority")})
+    if not down:
         return predictions.select("actual_priority").limit(0)
 
     def cell(actual: str, predicted: str) -> Column:
         here = (F.col("actual_priority") == actual) & (F.col("predicted_priority") == predicted)
         return F.count_if(here).alias(f"{actual}>{predicted}")
 
-    counts = predictions.agg(*[cell(a, p) for a in labels for p in labels])
+    counts = predictions.agg(*[cell(a, p) for a in down for p in across])
     lines = [
         F.struct(
-            F.lit(a).alias("actual_priority"), *[F.col(f"`{a}>{p}`").alias(p) for p in labels]
+            F.lit(a).alias("actual_priority"), *[F.col(f"`{a}>{p}`").alias(p) for p in across]
         )
-        for a in labels
+        for a in down
     ]
     return counts.select(F.inline(F.array(*lines)))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caseloom import fixed_values as fixed
 from caseloom.operators.clean import STAGE_COLUMNS
 from caseloom.operators.metrics import (
+    LABELS,
     classification_report,
     confusion_matrix,
     metrics_record,
@@ -28,7 +29,7 @@ def write_classification_report(predictions: DataFrame, path: str) -> None:
     report_text(report).write.mode("overwrite").text(f"{path}_txt")
 
 
-def write_confusion_csv(predictions: DataFrame, path: str, labels=None) -> None:
+def write_confusion_csv(predictions: DataFrame, path: str, labels=LABELS) -> None:
     write_csv(confusion_matrix(predictions, labels), path)
 
 
