@@ -57,7 +57,9 @@ def unrolled(df: DataFrame, array: str, *keep: str) -> DataFrame:
 
 
 def pick(values: tuple[str, ...], index: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
+    """The value at an index from 0; null for a null index."""
+    value = F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
+    return F.when(index.isNotNull(), value)
 
 
 def shown_time(c: Column | str) -> Column:
