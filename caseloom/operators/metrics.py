@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseloom import fixed_values as fixed
 
@@ -111,38 +112,22 @@ def metrics_record(predictions: DataFrame, model: str | None = None) -> DataFram
     return record.withColumn("model", F.lit(model)) if model else record
 
 
-def labels_of(predictions: DataFrame, side: str) -> set[str]:
-    """All labels in one column; more than ``MAX_LABELS`` are an error."""
-    found = predictions.select(F.col(side).alias("label")).filter("label is not null").distinct()
-    rows = found.limit(MAX_LABELS + 1).collect()
-    if len(rows) > MAX_LABELS:
-        raise ValueError(f"{side} has more than {MAX_LABELS} labels")
-    return {r.label for r in rows}
-
-
 def confusion_matrix(predictions: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     """Actual labels down, predicted labels across, both in sorted order.
 
     Down go the labels that occur, across those and what else was predicted, so no row is left out;
-    ``labels`` stand on both sides, as zeros where absent.
+    ``labels`` stand on both sides, as zeros where absent.  One pass counts the pairs; more than
+    ``MAX_LABELS`` different pairs are an error, since these counts are collected.
     """
-    down = sorted({*labels, *labels_of(predictions, "actual_priority")})
-    across = sorted({*down, *labels_of(predictions, "predicted_priority")})
-    if not down:
-        return predictions.select("actual_priority").limit(0)
-
-    def cell(actual: str, predicted: str) -> Column:
-        here = (F.col("actual_priority") == actual) & (F.col("predicted_priority") == predicted)
-        return F.count_if(here).alias(f"{actual}>{predicted}")
-
-    counts = predictions.agg(*[cell(a, p) for a in down for p in across])
-    lines = [
-        F.struct(
-            F.lit(a).alias("actual_priority"), *[F.col(f"`{a}>{p}`").alias(p) for p in across]
-        )
-        for a in down
-    ]
-    return counts.select(F.inline(F.array(*lines)))
+    counted = prediction_counts(predictions).limit(MAX_LABELS + 1).collect()
+    if len(counted) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} pairs of labels")
+    n = {(r.actual_priority, r.predicted_priority): r.n for r in counted}
+    down = sorted({*labels, *(a for a, _ in n if a is not None)})
+    across = sorted({*down, *(p for _, p in n if p is not None)})
+    rows = [(a, *(n.get((a, p), 0) for p in across)) for a in down]
+    fields = [T.StructField("actual_priority", T.StringType()), *(T.StructField(p, T.LongType()) for p in across)]
+    return predictions.sparkSession.createDataFrame(rows, T.StructType(fields))
 
 
 def classification_report(predictions: DataFrame) -> DataFrame:
