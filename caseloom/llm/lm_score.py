@@ -1,14 +1,18 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network trained in numpy.
 
-Tokens are words; the ``WORDS`` most frequent of the whole corpus have ids of their own, all others
-share ``TAILS`` ids by their last two bytes.  The network hides a token and predicts it from the
-``REACH`` tokens on either side: one embedding table per place, their sum through tanh, a softmax over all ids.
-A document's score is the sum of the log-probabilities of all of its tokens, each given both its sides.
-
-Training reads every document.  A round masks one in ``EVERY`` tokens, another residue each round; every
-partition trains a copy of the network on its own documents, and the copies' parameters are averaged
-by tokens seen, in a distributed aggregation of (parameter, sum, weight) rows.  So what is gathered
-grows with the corpus (word counts and copies), while what reaches the driver is one network.
+Tokens are words; the ``WORDS`` most frequent of the whole corpus are classes of their own, all others
+fall into ``TAILS`` classes by their last two bytes.  The network hides a token and predicts its class from the
+``REACH`` tokens on either side: one embedding table per place, their sum through tanh, a softmax over all classes.
+Inside its class every word of the corpus has its share of the class's tokens; one count of each class is left for
+words that the corpus lacks, by their spelling.  The ``HELD`` most frequent words travel with the network, the
+rest of the vocabulary stays in a table that is joined by word.
+A document's score is the sum of the log-probabilities of all of its tokens, class times word, each given
+both its sides.
+
+Training reads every document and hides every token once: a round masks one in ``EVERY`` tokens, another
+residue each round, through all residues; every partition trains a copy of the network on its own documents,
+and the copies' parameters are averaged by tokens seen, in a distributed aggregation of (parameter, sum,
+weight) rows.  The network has one size; the vocabulary grows with the corpus.
 
 Edge cases: null, empty and word-less texts have 0 tokens, score 0 and null mean and perplexity; repeated rows
 count as often as they stand; null ids are carried; an empty table trains nothing and gives no rows.
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.llm.common import read_table, text_bytes
+from caseloom.llm.common import keep, read_table, text_bytes
 from caseloom.llm.registry import query
 from caseloom.llm.toxicity import tokens
 
@@ -36,17 +40,98 @@ SIZE = WORDS + TAILS + 1
 PAD = SIZE - 1
 REACH = 2
 DIM = 24
-EVERY = 16
-ROUNDS = 2
+EVERY = 2
+ROUNDS = EVERY
 RATES = (0.1, 0.05)
-STEP = 256
+STEP = 1024
 BLOCK = 2048
 FLUSH = 100_000
+HELD = 1 << 17
+# Shares from the table are multiples of this, so that their sums do not depend on the order.
+GRAIN = 2.0**-20
+# Symbols of a spelling: bytes of words and the start; weight of the shorter context; endings that a class may have.
+SYMBOLS = 36 + 128 + 1
+SHORTER = 8.0
+ENDINGS = (164 * 164 + 164) / TAILS
+SPELLED = 100_000
 
 _PLACES = [o for o in range(-REACH, REACH + 1) if o]
 _SHAPES = [(len(_PLACES), SIZE, DIM), (DIM,), (DIM, SIZE), (SIZE,)]
 
 
+def tail(word: bytes) -> int:
+    """The class of a word that is none of its own."""
+    return WORDS + zlib.crc32(word[-2:]) % TAILS
+
+
+class Lexicon:
+    """Log-probabilities of words inside their classes; ids of words, dense from ``SIZE`` on.
+
+    ``counts`` are those of the words held.  Unknown words share one count of their class: last two bytes
+    given the class, then byte by byte towards the start, each given the two after it, as in the distinct
+    words of the corpus.  ``gathered`` has the tokens of each class under four bytes, distinct words by their last
+    bytes under one or two, and triples of bytes.
+    """
+
+    def __init__(self, own: dict[bytes, int], counts: dict[bytes, int], gathered: dict[bytes, int]):
+        self.ids = own | {w: SIZE + i for i, w in enumerate(counts)}
+        self.base = self.size = SIZE + len(counts)
+        self.classes = np.append(np.arange(SIZE), np.array([tail(w) for w in counts], np.int64))
+        n, self.kinds, whole = np.array(list(counts.values()), float), np.zeros(SIZE), np.ones(SIZE)
+        self.endings, self.seen = {}, [Counter() for _ in range(4)]
+        triples, pairs, contexts, last = self.seen
+        for key, times in gathered.items():
+            if len(key) < 3:
+                self.endings[key] = times
+                self.kinds[tail(key)] += times
+            elif len(key) > 3:
+                whole[int(key)] += times
+            else:
+                triples[key] += times
+                contexts[key[1:]] += times
+                pairs[key[:2]] += times
+                last[key[1:2]] += times
+        self.left = -np.log(whole)
+        self.inside = np.append(np.zeros(SIZE), np.log(n) + self.left[self.classes[SIZE:]])
+        self.spelled: dict[bytes, int] = {}
+        self.logs: dict[bytes, float] = {}
+
+    def _log(self, key: bytes) -> float:
+        """Of a byte, given the two after it."""
+        triples, pairs, contexts, last = self.seen
+        shorter = (pairs[key[:2]] + SHORTER / SYMBOLS) / (last[key[1:2]] + SHORTER)
+        found = self.logs[key] = float(np.log((triples[key] + SHORTER * shorter) / (contexts[key[1:]] + SHORTER)))
+        return found
+
+    def spelling(self, word: bytes) -> float:
+        """Of a word that the corpus lacks, given its class."""
+        at, end, logs = tail(word), word[-2:], self.logs
+        total = self.left[at] + np.log((self.endings.get(end, 0) + 1 / ENDINGS) / (self.kinds[at] + 1))
+        line = b"\0" + word
+        for i in range(len(line) - 2):
+            key = line[i : i + 3]
+            total += logs[key] if key in logs else self._log(key)
+        return float(total)
+
+    def id(self, word: bytes) -> int:
+        """The id of a word that is not held, good until ``forget``; its log-probability is that of unknown ones."""
+        found = self.spelled.get(word)
+        if found is None:
+            if self.size == len(self.classes):
+                more = max(1024, self.size - self.base)
+                self.classes = np.append(self.classes, np.zeros(more, np.int64))
+                self.inside = np.append(self.inside, np.zeros(more))
+            found = self.spelled[word] = self.size
+            self.classes[found], self.inside[found] = tail(word), self.spelling(word)
+            self.size += 1
+        return found
+
+    def forget(self) -> None:
+        """Once many words have been spelled, all of their ids become free."""
+        if len(self.spelled) > SPELLED:
+            self.spelled, self.size = {}, self.base
+
+
 @dataclasses.dataclass
 class Network:
     words: dict[bytes, int]
@@ -55,6 +140,8 @@ class Network:
     outputs: np.ndarray
     bias: np.ndarray
     powers: list[np.ndarray] | None = None  # squared slopes so far, while training
+    lexicon: Lexicon | None = None
+    rest: DataFrame | None = None  # word, inside: of the words not held
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in (self.inputs, self.hidden, self.outputs, self.bias)])
@@ -67,29 +154,38 @@ class Network:
             at += n
         return Network(self.words, *parts)
 
-    def ids(self, raw: bytes | None) -> np.ndarray:
-        """Ids of a text's words between pads."""
-        known = self.words
-        found = [known[w] if w in known else WORDS + zlib.crc32(w[-2:]) % TAILS for w in tokens(raw)]
+    def ids(self, raw: bytes | None, rest: list[bytes] | None = None) -> np.ndarray:
+        """Ids of a text's words between pads; those of their classes without a lexicon.
+
+        Words not held go into ``rest``, if given, and have the id of their class.
+        """
+        known, other = (self.lexicon.ids, self.lexicon.id) if self.lexicon else (self.words, tail)
+        if rest is not None:
+            other = lambda w: rest.append(w) or tail(w)
+        found = [known[w] if w in known else other(w) for w in tokens(raw)]
         out = np.full(len(found) + 2 * REACH, PAD, np.int64)
         out[REACH : REACH + len(found)] = found
         return out
 
+    def _classes(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return self.lexicon.classes[ids[at]] if self.lexicon else ids[at]
+
     def _hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        total = self.hidden + self.inputs[0][ids[at + _PLACES[0]]]
+        total = self.hidden + self.inputs[0][self._classes(ids, at + _PLACES[0])]
         for table, place in zip(self.inputs[1:], _PLACES[1:]):
-            total += table[ids[at + place]]
+            total += table[self._classes(ids, at + place)]
         return np.tanh(total, out=total)
 
     def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the tokens at the places ``at``, each given its neighbours."""
+        inside = self.lexicon.inside[ids[at]] if self.lexicon else 0.0
         z = self._hidden(ids, at) @ self.outputs
         z += self.bias
-        said = z[np.arange(len(at)), ids[at]].astype(np.float64)
+        said = z[np.arange(len(at)), self._classes(ids, at)].astype(np.float64)
         top = z.max(axis=1)
         z -= top[:, None]
         np.exp(z, out=z)
-        return said - top - np.log(z.sum(axis=1))
+        return said - top - np.log(z.sum(axis=1)) + inside
 
     def step(self, ids: np.ndarray, at: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the masked tokens at ``at``, each parameter at its own pace (Adagrad)."""
@@ -157,8 +253,8 @@ def train_on(network: Network, texts, round_no: int) -> int:
     return seen
 
 
-def frequent_words(df: DataFrame, text: str, n: int = WORDS) -> list[bytes]:
-    """The most frequent words of all texts; counts leave a task before they grow large."""
+def word_counts(df: DataFrame, text: str) -> DataFrame:
+    """``word, n`` of all texts; kept.  Counts leave a task before they grow large."""
 
     def run(batches):
         counts = Counter()
@@ -176,12 +272,63 @@ def frequent_words(df: DataFrame, text: str, n: int = WORDS) -> list[bytes]:
         )
 
     counted = df.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return keep(counted, "lm-words")
+
+
+def frequent_words(counted: DataFrame, n: int = WORDS) -> list[bytes]:
     return [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(n).collect()]
 
 
-def fit(df: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Network:
-    """Train on all texts of ``df``."""
-    network = fresh(frequent_words(df, text))
+def lexicon(counted: DataFrame, own: dict[bytes, int], held: int = HELD) -> tuple[Lexicon, DataFrame | None]:
+    """Of all counted words, and the table of those that it does not hold."""
+
+    def gather(batches):
+        counts = Counter()
+        for batch in batches:
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if word in own:
+                    continue
+                counts[b"%04d" % tail(word)] += n
+                counts[word[-2:]] += 1
+                line = b"\0" + word
+                for i in range(len(line) - 2):
+                    counts[line[i : i + 3]] += 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["key", "n"]
+        )
+
+    def pairs(df):
+        table = df.toArrow()
+        return dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist()))
+
+    gathered = pairs(counted.mapInArrow(gather, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    least, so_far = 1, 0
+    most = F.least("n", F.lit(1_000_000))
+    for n, kinds in sorted(pairs(counted.groupBy(most.alias("n")).count()).items(), reverse=True):
+        so_far += kinds
+        if so_far > held:
+            least = n + 1
+            break
+    counts = pairs(counted.filter(F.col("n") >= least))
+    found = Lexicon(own, {w: n for w, n in counts.items() if w not in own}, gathered)
+    if least == 1:
+        return found, None
+    left = found.left
+
+    def share(batches):
+        for batch in batches:
+            logs = np.log(batch.column(1).to_numpy().astype(float))
+            logs += left[np.fromiter(map(tail, batch.column(0).to_pylist()), np.int64, len(logs))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.rint(logs / GRAIN) * GRAIN)], names=["word", "inside"])
+
+    rest = counted.filter(F.col("n") < least)
+    return found, keep(rest.mapInArrow(share, "word binary, inside double"), "lm-rest")
+
+
+def fit(df: DataFrame, text: str = "text", rounds: int = ROUNDS, held: int = HELD) -> Network:
+    """Train on all texts of ``df``, every token hidden once in ``EVERY`` rounds."""
+    counted = word_counts(df, text)
+    network = fresh(frequent_words(counted))
     for round_no in range(rounds):
         shared = df.sparkSession.sparkContext.broadcast(network)
 
@@ -203,20 +350,24 @@ def fit(df: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Network:
         for row in mean:
             flat[row.i] = row.value
         network = network.with_parameters(flat)
+    network.lexicon, network.rest = lexicon(counted, network.words, held)
     return network
 
 
 def score_documents(df: DataFrame, network: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: id, ``n_tokens``, ``log_likelihood``, its mean and the perplexity."""
-    shared = df.sparkSession.sparkContext.broadcast(network)
+    rest = network.rest
+    shared = df.sparkSession.sparkContext.broadcast(dataclasses.replace(network, rest=None))
     schema = T.StructType(
-        [df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType())]
+        [T.StructField("row", T.LongType()), df.schema[key], T.StructField("n_tokens", T.LongType()),
+         T.StructField("log_likelihood", T.DoubleType())]
+        + [T.StructField("rest", T.ArrayType(T.BinaryType()))] * (rest is not None)
     )
 
-    def run(batches):
+    def run(batches, complete=rest is None):
         network = shared.value
         for batch in batches:
-            sizes, sums = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            sizes, sums, missing = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), []
             held, held_rows, held_tokens = [], [], 0
 
             def score():
@@ -224,9 +375,12 @@ def score_documents(df: DataFrame, network: Network, key: str = "doc_id", text:
                 for a in range(0, len(at), BLOCK):
                     part = network.log_probabilities(ids, at[a : a + BLOCK])
                     np.add.at(sums, np.asarray(held_rows)[owner[a : a + BLOCK]], part)
+                if network.lexicon:
+                    network.lexicon.forget()
 
-            for i, raw in enumerate(text_bytes(batch.column(1))):
-                found = network.ids(raw)
+            for i, raw in enumerate(text_bytes(batch.column(2))):
+                missing.append(None if complete else [])
+                found = network.ids(raw, missing[-1])
                 sizes[i] = len(found) - 2 * REACH
                 held.append(found)
                 held_rows.append(i)
@@ -236,18 +390,46 @@ def score_documents(df: DataFrame, network: Network, key: str = "doc_id", text:
                     held, held_rows, held_tokens = [], [], 0
             if held:
                 score()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(sums)], names=schema.fieldNames()
-            )
-
+            arrays = [batch.column(0), batch.column(1), pa.array(sizes), pa.array(sums)]
+            if not complete:
+                arrays.append(pa.array(missing, pa.list_(pa.binary())))
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
+
+    numbered = df.select(F.monotonically_increasing_id().alias("row"), key, text)
+    scored = numbered.mapInArrow(run, schema)
+    if rest is not None:
+        scored = _with_rest(keep(scored, "lm-scored"), rest, shared)
     mean = F.col("log_likelihood") / F.nullif(F.col("n_tokens"), F.lit(0))
     return (
-        df.select(key, text).mapInArrow(run, schema)
+        scored.select(key, "n_tokens", "log_likelihood")
         .withColumn("mean_log_likelihood", mean)
         .withColumn("perplexity", F.exp(-F.col("mean_log_likelihood")))
     )
 
 
+def _with_rest(scored: DataFrame, rest: DataFrame, shared) -> DataFrame:
+    """``scored`` with the shares of its words that are not held: from the table, else by their spelling."""
+
+    def spell(batches):
+        lexicon = shared.value.lexicon
+        for batch in batches:
+            inside = batch.column(1)
+            if inside.null_count:
+                words = batch.column(2).to_pylist()
+                values = [
+                    round(lexicon.spelling(w) / GRAIN) * GRAIN if v is None else v for v, w in zip(inside.to_pylist(), words)
+                ]
+                inside = pa.array(values, pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), inside], names=["row", "inside"])
+
+    words = scored.select("row", F.explode("rest").alias("word")).join(rest, "word", "left")
+    unknown = F.when(F.col("inside").isNull(), F.col("word"))
+    shares = words.select("row", "inside", unknown.alias("word")).mapInArrow(spell, "row long, inside double")
+    totals = shares.groupBy("row").agg(F.sum("inside").alias("inside"))
+    total = F.col("log_likelihood") + F.coalesce("inside", F.lit(0.0))
+    return scored.drop("rest").join(totals, "row", "left").withColumn("log_likelihood", total)
+
+
 @query("op5_lm_score")
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-likelihood of every row of ``documents`` under a network trained on all of them."""

@@ -1,5 +1,6 @@
 """Packing, token counts, benchmark search, language, toxicity and LM scoring against plain Python."""
 
+import itertools
 import random
 import re
 import zlib
@@ -352,6 +353,51 @@ def test_lm_edge_cases(odd, none):
     assert lm_score.score_documents(none, lm_score.fit(none)).count() == 0
 
 
+def test_words_of_a_class_have_their_own_probability(spark):
+    """Rare words that nonsense of the same class replaces cost likelihood; the words of a class make its probability."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    net = lm_score.fit(docs)
+    assert net.rest is None
+    for c in range(lm_score.WORDS, lm_score.WORDS + lm_score.TAILS):
+        own = [net.lexicon.inside[i] for w, i in net.lexicon.ids.items() if w not in net.words and lm_score.tail(w) == c]
+        assert np.isclose(np.exp(own).sum() + np.exp(net.lexicon.left[c]), 1)
+    row = max(docs.collect(), key=lambda r: len(r.text))
+    words = lm_score.tokens(row.text.encode())
+    other = [w if w in net.words else b"zqxj9" + w[-2:] for w in words]
+    assert [net.words.get(w, lm_score.tail(w)) for w in words] == [net.words.get(w, lm_score.tail(w)) for w in other]
+    both = spark.createDataFrame([(1, b" ".join(words).decode()), (2, b" ".join(other).decode(errors="replace"))], "doc_id long, text string")
+    plain, changed = sorted(lm_score.score_documents(both, net).collect())
+    assert plain.n_tokens == changed.n_tokens and plain.log_likelihood > changed.log_likelihood + len(words)
+
+
+def test_words_not_held_are_joined(spark):
+    """The same scores whatever part of the vocabulary travels with the network, also for unknown words."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    whole, part = lm_score.fit(docs), lm_score.fit(docs, held=300)
+    assert part.rest.count() + part.lexicon.base == whole.lexicon.base and part.lexicon.base < 400 + lm_score.SIZE
+    more = docs.union(spark.createDataFrame([(-1, "an unheardofword, xqzzk 9q9q9 and é"), (None, None)], docs.schema))
+    a, b = ({r.doc_id: tuple(r)[1:] for r in lm_score.score_documents(more, n).collect()} for n in (whole, part))
+    assert a.keys() == b.keys()
+    for i in a:
+        assert a[i][0] == b[i][0] and np.allclose(a[i][1], b[i][1], rtol=1e-4, atol=1e-3)
+
+
+def test_spellings_of_a_class_add_up():
+    """All words over two letters, up to a length at which little is left, share the count of unknown words."""
+    gathered = {b"ab": 4, b"bb": 2, b"b": 1, b"\0ab": 3, b"\0bb": 2, b"aab": 1, b"\0aa": 1, b"%04d" % lm_score.tail(b"ab"): 9}
+    lexicon = lm_score.Lexicon({}, {}, gathered)
+    for c in {lm_score.tail(e) for e in (b"ab", b"bb", b"b")}:
+        alike = [w for n in range(1, 9) for w in map(bytes, itertools.product(b"ab", repeat=n)) if lm_score.tail(w) == c]
+        assert 0.1 < sum(np.exp(lexicon.spelling(w)) for w in alike) / np.exp(lexicon.left[c]) <= 1
+
+
+def test_every_token_is_trained_on():
+    texts = [b"one two three four five six seven " * n for n in range(1, 40)]
+    net = lm_score.fresh([b"one", b"two"])
+    seen = [lm_score.train_on(net, texts, n) for n in range(lm_score.ROUNDS)]
+    assert min(seen) > 0 and sum(seen) == sum(len(t.split()) for t in texts)
+
+
 # empty tables
 
 
