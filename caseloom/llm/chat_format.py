@@ -7,10 +7,11 @@ instead of its text: what stays the same before and after them is the template's
 changes what it has written for earlier turns (a prefix that is not the beginning of the next) is reported as
 rewriting, with the turn, instead of being given spans that are wrong.
 
-Turns are streamed in order through tasks, so a conversation is never held as a whole.  Rendering all of
-its prefixes would cost the square of its length; after ``WINDOW`` turns the rendered prefix is therefore
-cut down to the last ones, but only where the template is seen to say the same after the shorter prefix
-as after the longer; a template with a longer memory keeps its whole prefix and pays for it.
+Turns are streamed in order through tasks, so with such a cut a conversation is never held as a whole.  Rendering all of
+its prefixes costs the square of its length.  That is what a template of which nothing is known needs, for it may
+change earlier turns at any length.  Only where the caller declares that a turn's piece depends on no turn
+before it (``independent``; ``chat_template`` is so) the rendered prefix is cut down to the last turns after
+``WINDOW`` of them, and also then only while the template is seen to say the same after the shorter prefix.
 
 ``chat_template`` marks turns and escapes control strings inside texts, so that the output can be read back
 without loss: ``read_back`` needs nothing but the formatted text.
@@ -74,10 +75,10 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 class Renderer:
     """Spans of one conversation's turns, given one after the other."""
 
-    def __init__(self, template: Template, window: int = WINDOW):
+    def __init__(self, template: Template, window: int = WINDOW, independent: bool = False):
         self.template, self.window = template, window
         self.kept: list[dict] = []
-        self.shown, self.length, self.turns, self.whole = template([]), 0, 0, False
+        self.shown, self.length, self.turns, self.whole = template([]), 0, 0, not independent
         self.length = len(self.shown)
 
     def add(self, message: dict) -> dict:
@@ -133,13 +134,15 @@ PIECES = (
 
 def format_turns(
     df: DataFrame, template: Template = chat_template, conversation: str = "conv_id", turn: str = "turn",
-    role: str = "role", text: str = "text", window: int = WINDOW,
+    role: str = "role", text: str = "text", window: int = WINDOW, independent: bool | None = None,
 ) -> DataFrame:
     """One row per turn: its piece of the formatted conversation, with spans in characters.
 
     The pieces of a conversation, by ``position``, make its formatted text.  Where ``rewrites`` is true
-    the template changed earlier output and no spans are given from there.
+    the template changed earlier output and no spans are given from there.  ``independent`` declares that what
+    the template writes for a turn depends on no turn before it; only ``chat_template`` is taken to be so unasked.
     """
+    cut = template is chat_template if independent is None else independent
     turns = df.select(
         F.col(conversation).cast("long").alias("conv_id"),
         F.col(turn).alias("turn"),
@@ -154,7 +157,7 @@ def format_turns(
             rows = []
             for conv, said_by, said in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
                 if (conv,) != now:
-                    now, renderer = (conv,), Renderer(template, window)
+                    now, renderer = (conv,), Renderer(template, window, cut)
                 position = renderer.turns
                 rows.append({"conv_id": conv, "position": position, "role": said_by} | renderer.add({"role": said_by, "text": said}))
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)

@@ -77,6 +77,24 @@ def test_templates_with_long_memory_keep_their_prefix():
     assert "".join(r["piece"] for r in out) == counts_all(messages)
 
 
+def test_rewriting_that_begins_late_is_found(spark):
+    def last_forty(messages):
+        return "".join(f"{m['text']};" for m in messages[-40:])
+
+    def reminded(messages):
+        return "".join(f"{m['text']};" + "remember;" * (i % 50 == 49) for i, m in enumerate(messages))
+
+    messages = [{"role": "user", "text": str(i * i)} for i in range(120)]
+    renderer = chat.Renderer(last_forty)
+    assert [renderer.add(m)["rewrites"] for m in messages] == [False] * 40 + [True] * 80
+    turns = spark.createDataFrame([(1, i, "user", m["text"]) for i, m in enumerate(messages)], "conv_id long, turn long, role string, text string")
+    rows = chat.format_turns(turns, reminded).orderBy("position").collect()
+    assert "".join(r.piece for r in rows) == reminded(messages)
+    assert sum(r.rewrites for r in chat.format_turns(turns, last_forty).collect()) == 80
+    kept = chat.Renderer(chat.chat_template, window=4, independent=True)
+    assert "".join(kept.add(m)["piece"] for m in messages) == chat.chat_template(messages) and len(kept.kept) <= 9
+
+
 def test_op2_sql(spark):
     connection = duckdb.connect()
     connection.sql(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
