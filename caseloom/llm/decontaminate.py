@@ -12,7 +12,7 @@ intersected with the diagonal, and runs of at least a window's length are the ex
 Proximity search: the same two terms, where their shifts differ by up to ``slop`` words.
 
 Edge cases: null or word-less texts have no words and are never hit; word-less items have no window;
-rows that repeat an id are judged one by one; items that share an id count once; a null item id reads as
+rows that repeat an id are judged, and dropped, one by one; items that share an id count once; a null item id reads as
 the empty string in the digest; without items or without documents nothing is hit.
 """
 
@@ -191,10 +191,11 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the contaminated ones; rows that share an id go together."""
-    found = contamination(docs, items, key, text, **options).filter("contaminated")
-    gone = found.select(F.col("doc_id").alias(free_name(docs, "gone"))).distinct()
-    return docs.join(gone, docs[key].eqNullSafe(gone[gone.columns[0]]), "left_anti")
+    """``docs`` without the contaminated ones; rows that share an id, or have none, are judged one by one."""
+    mark = free_name(docs, "row")
+    numbered = keep(docs.withColumn(mark, F.monotonically_increasing_id()), "decon-docs")
+    found = contamination(numbered, items, mark, text, **options).filter("contaminated")
+    return numbered.join(found.select(F.col("doc_id").alias(mark)), mark, "left_anti").select(*docs.columns)
 
 
 _WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""

@@ -223,6 +223,14 @@ def test_contamination_equals_brute_force(spark, odd, texts):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((x[0] for x in want if x[0] not in gone), key=repr)
 
 
+def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark):
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20)))], "item_id long, text string")
+    bad = "x " + " ".join(f"w{i}" for i in range(20))
+    docs = [(None, bad), (None, "clean one"), (None, "clean one"), (None, None), (5, bad), (5, "clean two"), (6, "clean three")]
+    kept = decontaminate.drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), items)
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(repr(d) for d in docs if d[1] != bad)
+
+
 def test_proximity_matches(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     docs = [(1, "alpha beta gamma"), (2, "alpha x beta gamma"), (3, "alpha " + "x " * 9 + "beta gamma"), (4, "gamma")]
