@@ -6,6 +6,7 @@ from caseloom.llm import (  # noqa: F401
     exact_dedup,
     language_id,
     lm_score,
+    merkle_manifest,
     pack,
     simhash_dedup,
     token_counts,
