@@ -8,6 +8,8 @@ from caseloom.llm import (  # noqa: F401
     lm_score,
     merkle_manifest,
     pack,
+    periodic_runs,
+    secret_scan,
     simhash_dedup,
     token_counts,
     toxicity,
