@@ -1,20 +1,22 @@
 """Exact nearest-neighbour retrieval.
 
-A query meets every knowledge-base row, so the work is one big matrix product.  Two physical plans
+A query meets every knowledge-base row, so the work is one big matrix product.  The physical plans
 give the same rows:
 
 * A knowledge base of checked size becomes a broadcast matrix.  Queries stream through it where
   they are: no shuffle, one output row per neighbour.
-* A larger one is cut into tiles, and so are the queries.  An equi-join on (knowledge tile, query
+* A larger one is searched by ``metric_index``: queries only meet the blocks of rows that the triangle
+  inequality and their filters leave.  Where filter fields have too many combinations for that, or a tile
+  size is given, it is cut into tiles, and so are the queries.  An equi-join on (knowledge tile, query
   tile) lets each task hold exactly one tile of either side, whatever the keys look like; it emits
   the best ``k`` per query of its tile, never the pairs.  A ranking window merges the tiles, and
   Spark limits each group before that last shuffle.
 
-In both, candidates come from the matrix product and their final distance from a plain left-to-right
+In all, candidates come from the matrix product and their final distance from a plain left-to-right
 sum over the dimensions, so equal vectors get equal distances and ties fall by document id.  The product
 may be off by an error that grows with the lengths of the vectors; everything within a bound of that
 error counts as a candidate, so tile and block sizes never change the rows.  Pairs without a distance (a
-vector of zeros under cosine, a vector with NaN or infinity) are no neighbours in either plan.
+vector of zeros under cosine, a vector with NaN or infinity) are no neighbours in any plan.
 """
 
 from __future__ import annotations
@@ -275,6 +277,14 @@ def knn_topk(
         return queries.sparkSession.createDataFrame([], _hit_schema(queries))
     if index.matrix is not None:
         return _knn_broadcast(queries, index, k, metric)
+    if tile_rows is None:
+        from caseloom.operators import metric_index
+
+        try:
+            cells = metric_index.build_metric_index(index.docs, index.match_on, metric)
+            return metric_index.knn_pruned(queries, cells, k)
+        except metric_index.TooManyBlocks:
+            pass
     return _knn_tiles(queries, index, k, metric, tile_rows)
 
 

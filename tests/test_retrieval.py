@@ -1,4 +1,4 @@
-"""Nearest neighbours against brute force, for both physical plans."""
+"""Nearest neighbours against brute force, for all physical plans."""
 
 import numpy as np
 import pytest
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caseloom.operators import retrieval
 from caseloom.sources import knowledge_base as kbs
 
-PLANS = {"broadcast": {}, "tiles": {"broadcast_bytes": 0, "tile_rows": 16}}
+PLANS = {"broadcast": {}, "tiles": {"broadcast_bytes": 0, "tile_rows": 16}, "pruned": {"broadcast_bytes": 0}}
 QUEUES = ("A", "B")
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from caseloom import fixed_values as fixed
-from caseloom.operators import ranking, retrieval, voting
+from caseloom.operators import metric_index, ranking, retrieval, voting
 from caseloom.operators.metrics import evaluation_summary
 from caseloom.operators.requests import append_tickets, newest_first, manual_tickets
 from caseloom.plans import triage as T
@@ -16,7 +16,7 @@ from caseloom.streaming.triage_stream import triage_stream
 from workload import sql as S
 from workload import views as V
 from workload.learning_queries import fitted
-from workload.registry import query
+from workload.registry import ORACLES, query
 from workload.source_queries import evaluation_sql, query_text_sql
 
 NEAR = fixed.NEAR_DUPLICATE_RATIO
@@ -83,6 +83,14 @@ def knn_topk_tiled(spark, sf_dir):
     return hits.select("query_id", "doc_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+@query("d1_knn_topk_pruned", ORACLES["d1_knn_topk_tiled"])
+def knn_topk_pruned(spark, sf_dir):
+    """The plan by pivots and the triangle inequality, for the same knowledge bases."""
+    index = metric_index.build_metric_index(V.knowledge_base(spark, sf_dir), block_rows=256)
+    hits = metric_index.knn_pruned(V.query_vectors(spark, sf_dir), index, 5)
+    return hits.select("query_id", "doc_id", F.round("distance", 6).alias("distance"), "rank")
+
+
 FILTERS = ("queue", "type")
 
 
@@ -100,16 +108,28 @@ WHERE rank <= 5""",
     ("kb",),
 )
 def knn_topk_filtered(spark, sf_dir):
+    hits = retrieval.knn_topk(
+        filtered_queries(spark, sf_dir), V.knowledge_base(spark, sf_dir), 5, match_on=FILTERS
+    )
+    return hits.select("query_id", "doc_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+def filtered_queries(spark, sf_dir):
     key = F.col("query_id")
-    queries = V.query_vectors(spark, sf_dir).withColumns(
+    return V.query_vectors(spark, sf_dir).withColumns(
         {
             "queue_filter": F.when(key % 3 != 0, V.pick(V.QUEUES, key % 4)),
             "type_filter": F.when(key % 2 != 0, F.lit("PROBLEM")),
         }
     )
-    hits = retrieval.knn_topk(
-        queries, V.knowledge_base(spark, sf_dir), 5, match_on=FILTERS
-    )
+
+
+@query("d2_knn_topk_filtered_pruned", ORACLES["d2_knn_topk_filtered"])
+def knn_topk_filtered_pruned(spark, sf_dir):
+    """Blocks of one combination of fields: a query meets only those that can match."""
+    kb = V.knowledge_base(spark, sf_dir)
+    index = metric_index.build_metric_index(kb, FILTERS, block_rows=256)
+    hits = metric_index.knn_pruned(filtered_queries(spark, sf_dir), index, 5)
     return hits.select("query_id", "doc_id", F.round("distance", 6).alias("distance"), "rank")
 
 
