@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.operators.retrieval import METRICS, _best, _hit_schema, _matrix
+from caseloom.operators.retrieval import METRICS, _best, _matrix
 from caseloom.session import fresh_path
 
 MAX_PIVOTS = 1024
@@ -308,12 +308,10 @@ def search_state(queries: DataFrame, index: MetricIndex, k: int) -> DataFrame:
         width *= GROWTH
 
 
-def hits_of(state: DataFrame, schema: T.StructType) -> DataFrame:
+def hits_of(state: DataFrame) -> DataFrame:
     """The neighbours in a search's state: ``query_id, doc_id, distance, rank``."""
     rows = state.select("query_id", F.posexplode("best").alias("at", "hit"))
-    return rows.select(
-        "query_id", "hit.doc_id", "hit.distance", (F.col("at") + 1).cast("int").alias("rank")
-    ).to(schema)
+    return rows.select("query_id", "hit.doc_id", "hit.distance", (F.col("at") + 1).cast("int").alias("rank"))
 
 
 def visits_of(state: DataFrame, index: MetricIndex) -> DataFrame:
@@ -328,4 +326,4 @@ def visits_of(state: DataFrame, index: MetricIndex) -> DataFrame:
 
 def knn_pruned(queries: DataFrame, index: MetricIndex, k: int) -> DataFrame:
     """The ``k`` nearest rows of each query: (query_id, doc_id, distance, rank)."""
-    return hits_of(search_state(queries, index, k), _hit_schema(queries))
+    return hits_of(search_state(queries, index, k))

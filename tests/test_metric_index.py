@@ -48,7 +48,7 @@ def test_filters_choose_blocks(clustered, metric="cosine"):
     index = mi.build_metric_index(kb, fields, metric, block_rows=32)
     state = mi.search_state(queries, index, 6)
     want = rows(retrieval.knn_topk(queries, kb, 6, metric=metric, match_on=fields))
-    assert rows(mi.hits_of(state, retrieval._hit_schema(queries))) == want
+    assert rows(mi.hits_of(state)) == want
     visited = state.select("queue_filter", "type_filter", F.explode("visited").alias("number")).collect()
     lines = index.shells.value
     place = {n: i for i, n in enumerate(lines.number)}

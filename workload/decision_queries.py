@@ -6,11 +6,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from caseloom import fixed_values as fixed
-from caseloom.operators import metric_index, ranking, retrieval, voting
+from caseloom.operators import encoder, metric_index, ranking, retrieval, voting
 from caseloom.operators.metrics import evaluation_summary
 from caseloom.operators.requests import append_tickets, newest_first, manual_tickets
 from caseloom.plans import triage as T
 from caseloom.plans.evaluation import evaluate_cases
+from caseloom.plans.text_search import build_text_memory, requests_and_candidates
 from caseloom.session import fresh_path
 from caseloom.streaming.triage_stream import triage_stream
 from workload import sql as S
@@ -195,7 +196,7 @@ def letter_counts(texts: list[str]) -> np.ndarray:
     SELECT conv_id * 1000 + turn AS turn_id, list_transform(
       string_split('abcdefghijklmnopqrstuvwxyz', ''),
       lambda c: CAST(length(lower(text)) - length(replace(lower(text), c, '')) AS DOUBLE)) AS counts
-    FROM conversations)) WHERE n2 > 0""",
+    FROM conversations))""",
 )
 def embed_text(spark, sf_dir):
     texts = V.table(spark, sf_dir, "conversations").select(
@@ -203,10 +204,32 @@ def embed_text(spark, sf_dir):
     )
     vectors = retrieval.embed_text(texts, lambda: letter_counts)
     size = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    return vectors.filter(size > 0).select(
-        "turn_id",
-        F.size("embedding").alias("dims"),
-        F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("first_weight"),
+    first = F.round(F.get("embedding", F.lit(0)).cast("double"), 4)
+    return vectors.select(
+        "turn_id", F.size("embedding").alias("dims"), F.when(size > 0, first).alias("first_weight")
+    )
+
+
+TURNS_ENCODED_SQL = f"""SELECT turn_id, 64 AS dims, CAST(max(CASE WHEN known THEN 1 ELSE 0 END) AS DOUBLE) AS length
+FROM (SELECT turn_id, term IS NOT NULL AND term IN (SELECT term FROM words) AS known
+  FROM (SELECT conv_id * 1000 + turn AS turn_id, unnest(CASE WHEN len(t) = 0 THEN [NULL] ELSE t END) AS term
+    FROM (SELECT conv_id, turn, {S.tokens("coalesce(text, '')")} AS t FROM conversations))) GROUP BY 1"""
+WORDS_SQL = f"""SELECT term FROM (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df
+  FROM (SELECT doc_id, unnest({S.tokens("text")}) AS term FROM documents) GROUP BY 1)
+WHERE df >= 2 ORDER BY tf DESC, term LIMIT {encoder.MAX_TERMS}"""
+
+
+@query("d5_encode_texts", f"WITH words AS MATERIALIZED ({WORDS_SQL}) {TURNS_ENCODED_SQL}")
+def encode_texts(spark, sf_dir):
+    """An encoder learned from all documents, applied to all turns: unit vectors where a word is known."""
+    fitted_encoder = encoder.fit_encoder(V.documents(spark, sf_dir))
+    turns = V.table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text"
+    )
+    vectors = encoder.encode(turns, fitted_encoder)
+    size = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return vectors.select(
+        "turn_id", F.size("embedding").alias("dims"), F.round(F.sqrt(size), 4).alias("length")
     )
 
 
@@ -498,6 +521,30 @@ def predict_and_retrieve(spark, sf_dir):
     ).drop("retrieved_incidents")
 
 
+def asked_by_text(spark, sf_dir, threshold=NEAR):
+    """Tickets whose priority the last model predicts, and incidents found by the text of their issue."""
+    model, _ = fitted(spark, sf_dir, "stage5")
+    memory = build_text_memory(V.past_tickets(spark, sf_dir))
+    tickets = V.tickets(spark, sf_dir).drop("ml_priority", "query_key")
+    return requests_and_candidates(tickets, memory, model, threshold=threshold)
+
+
+@query("h1_predict_and_retrieve_by_text")
+def predict_and_retrieve_by_text(spark, sf_dir):
+    """The whole of it: priority from a model, query from the issue, vector from the query, incidents by the vector."""
+    rows = T.predict_and_retrieve(*asked_by_text(spark, sf_dir, None))
+    ids = F.transform("retrieved_incidents", lambda c: c["doc_id"])
+    distances = F.transform("retrieved_incidents", lambda c: F.round(c["distance"], 4))
+    return rows.withColumns(
+        {"incidents": F.array_join(ids, ","), "distances": F.array_join(distances, ",")}
+    ).drop("retrieved_incidents")
+
+
+@query("h2_triage_by_text")
+def triage_by_text(spark, sf_dir):
+    return _flat(T.triage(*asked_by_text(spark, sf_dir)), "ml_predicted_priority")
+
+
 @query("h2_triage_with_model")
 def triage_with_model(spark, sf_dir):
     """Fit the last model, predict inside the triage of all tickets."""

@@ -273,3 +273,20 @@ def decision_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def past_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Past incidents from all training tickets; what was asked is the text they are found by."""
+    from caseloom.functions.text import build_query
+    from caseloom.operators.clean import clean_tickets
+
+    rows = clean_tickets(training_rows(spark, sf_dir), "stage3", keep=["row_id"])
+    return rows.select(
+        F.concat(F.lit("T"), F.col("row_id").cast("string")).alias("doc_id"),
+        build_query("issue_description", "type", "queue").alias("retrieval_text"),
+        F.lit("tickets").alias("source"),
+        "issue_description",
+        F.concat(F.lit("Handled by "), F.lower("queue")).alias("resolution"),
+        "type",
+        "queue",
+        "priority",
+        F.array(F.lower("queue")).alias("tags"),
+    )
