@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from caseloom.functions.text import col_of
 from caseloom.operators.features import ngrams_1_2, remove_stopwords, tokenize, vocabulary
-from caseloom.session import fresh_path
+from caseloom.session import written
 
 DIMENSIONS = 64
 OVERSAMPLING = 16
@@ -208,21 +208,15 @@ def fit_encoder(
     The ``max_terms`` most frequent terms in at least ``min_df`` texts are its vocabulary; this and ``dimensions``
     bound what the driver and the tasks hold.  Without any such term every vector is empty.
     """
-    spark = texts.sparkSession
     stop = tuple(stop_words)
-    with_terms = texts.select(text_terms(text, stop, bigrams).alias("found"))
-    path = fresh_path(spark, "encoder-terms")
-    with_terms.write.parquet(path)
-    with_terms = spark.read.schema(with_terms.schema).parquet(path)
+    with_terms = written(texts.select(text_terms(text, stop, bigrams).alias("found")), "encoder-terms")
     found = sorted(vocabulary(with_terms, "found", min_df, max_terms).collect())  # at most max_terms rows
     n = with_terms.count()
     terms = tuple(r["term"] for r in found)
     idf = np.array([math.log((1.0 + n) / (1.0 + r["df"])) + 1.0 for r in found])
     if not terms:
         return Encoder((), idf, np.zeros((0, 0)), np.zeros(0), stop, bigrams)
-    path = fresh_path(spark, "encoder-rows")
-    tfidf_rows(with_terms, terms, idf, "found").write.parquet(path)
-    rows = spark.read.schema(ROWS_SCHEMA).parquet(path)
+    rows = written(tfidf_rows(with_terms, terms, idf, "found"), "encoder-rows")
     matrix, singular = singular_vectors(rows, len(terms), dimensions, rounds=rounds, seed=seed)
     return Encoder(terms, idf, matrix, singular, stop, bigrams)
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseloom.operators.retrieval import METRICS, _best, _matrix
-from caseloom.session import fresh_path
+from caseloom.session import written
 
 MAX_PIVOTS = 1024
 BLOCK_ROWS = 1024
@@ -73,12 +73,6 @@ class MetricIndex:
     shells: Broadcast | None
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _points(vectors: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
     """Vectors as points of a space in which distances obey the triangle inequality, and which of them have a place."""
     with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
@@ -132,7 +126,7 @@ def build_metric_index(
         [*docs.schema.fields, T.StructField("cell", T.LongType())]
         + [T.StructField(c, T.DoubleType()) for c in ("ring", "reach")]
     )
-    assigned = _written(docs.mapInPandas(assign, placed), "metric-cells")
+    assigned = written(docs.mapInPandas(assign, placed), "metric-cells")
     order = [*fields, "cell", "ring", "doc_id"]
     ordered = assigned.repartitionByRange(*order).sortWithinPartitions(*order)
 
@@ -149,7 +143,7 @@ def build_metric_index(
             yield batch.drop(columns="part").assign(block=batch["part"].to_numpy(np.int64) * 2**32 + numbers)
 
     numbered = T.StructType([*placed.fields, T.StructField("block", T.LongType())])
-    blocks = _written(
+    blocks = written(
         ordered.withColumn("part", F.spark_partition_id()).mapInPandas(cut, numbered), "metric-blocks"
     )
     lines = (
@@ -290,7 +284,7 @@ def search_state(queries: DataFrame, index: MetricIndex, k: int) -> DataFrame:
         return state
     kind, width = queries.schema["query_id"].dataType, 1
     while True:
-        planned = _written(_planned(state, index, k, width), "metric-plan")
+        planned = written(_planned(state, index, k, width), "metric-plan")
         if planned.filter(F.size("next") > 0).isEmpty():
             return planned.drop("next")
         bound = F.when(F.size("best") >= k, F.element_at("best", -1)["distance"]).otherwise(F.lit(float("inf")))
@@ -304,7 +298,7 @@ def search_state(queries: DataFrame, index: MetricIndex, k: int) -> DataFrame:
         state = planned.join(found, "query_id", "left").select(
             *asked.columns, F.slice(merged, 1, k).alias("best"), F.concat("visited", "next").alias("visited")
         )
-        state = _written(state, "metric-round")
+        state = written(state, "metric-round")
         width *= GROWTH
 
 

@@ -11,8 +11,14 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import (
+    LinearSVC,
+    LogisticRegression,
+    LogisticRegressionModel,
+    OneVsRest,
+)
 from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
@@ -24,6 +30,7 @@ from pyspark.ml.feature import (
     SQLTransformer,
     StopWordsRemover,
     StringIndexer,
+    StringIndexerModel,
     VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors
@@ -38,6 +45,15 @@ from caseloom.operators.features import (
     stratified_split,
     vocabulary,
 )
+from caseloom.operators.linear_models import (
+    Blocks,
+    LinearScores,
+    fit_squared_hinge,
+    multinomial,
+    objective,
+    squared_hinge,
+)
+from caseloom.session import written
 from caseloom.sources import reports
 
 
@@ -68,7 +84,8 @@ STAGES = {
 MODEL_NAMES = {"stage5": "LinearSVC"}
 ROWS_PER_PARTITION = 20_000
 MAX_ITER = 1000
-TOLERANCE = 1e-4
+TOLERANCE = 1e-6
+SVM_LOSSES = ("squared_hinge", "hinge")
 
 
 def term_stages(bigrams: bool, stop_words: Sequence[str] | None) -> list:
@@ -160,31 +177,51 @@ def fit_features(
     return PipelineModel([*stages, VectorAssembler(inputCols=blocks, outputCol="features")])
 
 
+def labelled_features(
+    train: DataFrame, stage: Stage, features: PipelineModel
+) -> tuple[StringIndexerModel, DataFrame]:
+    """What a classifier is fitted on, ``features, _label, class_weight``, and the numbering of its labels."""
+    labels = StringIndexer(
+        inputCol=fixed.LABEL_COLUMN, outputCol="_label", stringOrderType="alphabetAsc"
+    ).fit(train)
+    rows = class_weights(train) if stage.balanced else train.withColumn(
+        "class_weight", F.lit(1.0)
+    )
+    return labels, labels.transform(features.transform(rows)).select("features", "_label", "class_weight")
+
+
 def train_model(
     train: DataFrame,
     stage_name: str,
     stop_words: Sequence[str] | None = None,
     max_iter: int = MAX_ITER,
+    svm_loss: str = "squared_hinge",
 ) -> PipelineModel:
     """Fit a stage on cleaned training rows; the model adds ``predicted_priority``.
 
     ``max_iter`` is the limit the five models share; fits end before it when they converge to ``TOLERANCE``.
+    The last model's loss is the squared hinge; with ``svm_loss="hinge"`` it is that of Spark's class.
     """
+    if svm_loss not in SVM_LOSSES:
+        raise ValueError(f"svm_loss must be one of {SVM_LOSSES}")
     stage = STAGES[stage_name]
     features = fit_features(train, stage, stop_words)
-    labels = StringIndexer(
-        inputCol=fixed.LABEL_COLUMN, outputCol="_label", stringOrderType="alphabetAsc"
-    ).fit(train)
-    rows = class_weights(train) if stage.balanced else train.withColumn(
-        "class_weight", F.lit(1.0)
-    )
-    ready = labels.transform(features.transform(rows)).select("features", "_label", "class_weight")
+    labels, ready = labelled_features(train, stage, features)
     n = train.count()
     # Every iteration visits every partition, so finished features are dealt out to few of them where
     # there are few rows; what leads up to them keeps its own partitions.
     ready = ready.repartition(max(1, -(-n // ROWS_PER_PARTITION)))
     # Regularisation of strength C = 1: the weights of a training set sum to its row count.
     strength = 1.0 / n
+    back = IndexToString(
+        inputCol="_predicted", outputCol="predicted_priority", labels=labels.labels
+    )
+    if stage.svm and svm_loss == "squared_hinge":
+        with Blocks(ready) as blocks:
+            size = ready.select(F.unwrap_udt("features")["size"]).first()[0]
+            fit = fit_squared_hinge(blocks, size, len(labels.labels), tolerance=TOLERANCE, max_iter=max_iter)
+        scores = LinearScores(predictionCol="_predicted", weights=fit.weights.T.tolist())
+        return PipelineModel([*features.stages, scores, back])
     if stage.svm:
         binary = LinearSVC(
             regParam=strength, maxIter=max_iter, tol=TOLERANCE, standardization=False
@@ -201,9 +238,6 @@ def train_model(
     classifier.setFeaturesCol("features").setLabelCol("_label").setPredictionCol("_predicted")
     classifier.setWeightCol("class_weight")
     fitted = classifier.fit(ready)
-    back = IndexToString(
-        inputCol="_predicted", outputCol="predicted_priority", labels=labels.labels
-    )
     return PipelineModel([*features.stages, fitted, back])
 
 
@@ -229,7 +263,8 @@ def predict_batch(model: PipelineModel, texts: DataFrame) -> DataFrame:
 def evaluate_model(
     predictions: DataFrame, output: str, stage_name: str = "stage5"
 ) -> None:
-    """Write every evaluation output of a stage below ``output``."""
+    """Write every evaluation output of a stage below ``output``; the rows are scored once."""
+    predictions = written(predictions, "scored")
     reports.write_metrics_json(predictions, f"{output}/metrics", MODEL_NAMES.get(stage_name))
     reports.write_classification_report(predictions, f"{output}/classification_report")
     reports.write_confusion_csv(predictions, f"{output}/confusion_matrix")
@@ -243,14 +278,38 @@ def train_and_score(
     key: str,
     stop_words: Sequence[str] | None = None,
     max_iter: int = MAX_ITER,
+    svm_loss: str = "squared_hinge",
 ) -> tuple[PipelineModel, DataFrame]:
     """Clean, split, fit and score the test rows, which get ``actual_priority``."""
     cleaned = clean_tickets(raw, stage_name, keep=[key])
-    split = stratified_split(cleaned, key).persist()
-    try:
-        model = train_model(split.filter("NOT is_test"), stage_name, stop_words, max_iter)
-    finally:
-        split.unpersist()
+    split = written(stratified_split(cleaned, key), "split")
+    model = train_model(split.filter("NOT is_test"), stage_name, stop_words, max_iter, svm_loss)
     test = split.filter("is_test").drop("is_test")
     scored = predict(model, test).withColumnRenamed(fixed.LABEL_COLUMN, "actual_priority")
     return model, scored
+
+
+def fit_checks(model: PipelineModel, train: DataFrame, stage_name: str) -> DataFrame:
+    """Whether a fitted model minimises its objective: ``priority, support, loss, slope``, one row per label.
+
+    ``slope`` is the gradient's norm at the model's weights as a share of its norm at zero weights; it is
+    computed from the training rows and the weights alone, without the solver.
+    """
+    stage, classifier = STAGES[stage_name], model.stages[-2]
+    features = PipelineModel(model.stages[:-2])
+    labels, ready = labelled_features(train, stage, features)
+    if isinstance(classifier, LinearScores):
+        weights, loss = np.array(classifier.getOrDefault(classifier.weights)).T, squared_hinge
+    elif isinstance(classifier, LogisticRegressionModel):
+        matrix, loss = classifier.coefficientMatrix.toArray(), multinomial
+        weights = np.vstack([matrix.T, classifier.interceptVector.toArray()])
+    else:
+        raise TypeError(f"no objective known for {type(classifier).__name__}")
+    free = loss is multinomial
+    with Blocks(ready) as blocks:
+        value, slope = objective(blocks, weights, loss, free_intercept=free)
+        _, first = objective(blocks, 0.0 * weights, loss, free_intercept=free)
+    support = {r[0]: r[1] for r in train.groupBy(fixed.LABEL_COLUMN).count().collect()}  # one row a label
+    shares = np.linalg.norm(slope, axis=0) / np.linalg.norm(first, axis=0)
+    rows = [(l, support[l], float(v), float(s)) for l, v, s in zip(labels.labels, value, shares)]
+    return train.sparkSession.createDataFrame(rows, "priority string, support long, loss double, slope double")

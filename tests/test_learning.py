@@ -244,3 +244,34 @@ def test_unseen_category_is_all_zeros(spark, training_rows):
     unseen = training_rows.limit(1).withColumns({"type": F.lit("OTHER"), "queue": F.lit("Z")})
     row = stages.transform(unseen).first()
     assert sum(row["_queue_onehot"].toArray()) == sum(row["_type_onehot"].toArray()) == 0.0
+
+
+@pytest.mark.parametrize("stage", ["stage3", "stage5"])
+def test_fit_checks_notice_a_spoilt_weight(spark, stage):
+    from workload import views as V
+    from workload.learning_queries import STATIONARY, cleaned
+
+    train = cleaned(spark, "/root/testdata/sf0.001", stage)
+    model = training.train_model(train, stage, V.STOP_WORDS)
+    checks = training.fit_checks(model, train, stage).collect()
+    assert [r.priority for r in checks] == ["HIGH", "LOW", "MEDIUM"]
+    assert sum(r.support for r in checks) == train.count() and all(r.slope < STATIONARY for r in checks)
+    if stage == "stage5":
+        classifier = model.stages[-2]
+        spoilt = [list(w) for w in classifier.getOrDefault(classifier.weights)]
+        spoilt[1][-1] += 0.05
+        classifier.set(classifier.weights, spoilt)
+        assert training.fit_checks(model, train, stage).collect()[1].slope > STATIONARY
+
+
+def test_hinge_is_still_there(spark):
+    from workload import views as V
+    from workload.learning_queries import cleaned
+
+    train = cleaned(spark, "/root/testdata/sf0.001", "stage5")
+    model = training.train_model(train, "stage5", V.STOP_WORDS, max_iter=20, svm_loss="hinge")
+    assert training.predict(model, train).filter("predicted_priority IS NULL").isEmpty()
+    with pytest.raises(ValueError):
+        training.train_model(train, "stage5", svm_loss="other")
+    with pytest.raises(TypeError):
+        training.fit_checks(model, train, "stage5")

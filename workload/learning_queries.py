@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseloom import fixed_values as fixed
 from caseloom.operators import clean, features, metrics
 from caseloom.plans import training
-from caseloom.session import fresh_path
+from caseloom.session import fresh_path, written
 from caseloom.sources import models
 from workload import sql as S
 from workload import views as V
@@ -340,6 +340,55 @@ _training_query("f14_train_stage4", "stage4")
 _training_query("f15_train_stage5_svm", "stage5")
 
 
+# A fit that is done has a slope far below this; one whose intercept is off by a twentieth has not.
+STATIONARY = 0.001
+
+
+def _check_query(name: str, stage: str):
+    rows = "cleaned_numbers" if stage == "stage4" else "cleaned"
+    body = f"""SELECT priority, CAST(any_value(n) - any_value(quota) AS BIGINT) AS support, true AS stationary
+      FROM hashed JOIN quotas USING (priority) GROUP BY priority"""
+
+    @query(name, _split_sql(body).replace("FROM cleaned)", f"FROM {rows})"), (rows,))
+    def run(spark, sf_dir):
+        cleaned_rows = cleaned(spark, sf_dir, stage)
+        train = written(features.stratified_split(cleaned_rows, "row_id"), "split").filter("NOT is_test")
+        model = training.train_model(train, stage, V.STOP_WORDS)
+        checks = training.fit_checks(model, train, stage)
+        return checks.select("priority", "support", (F.col("slope") <= STATIONARY).alias("stationary"))
+
+    return run
+
+
+_check_query("f11_check_baseline", "baseline")
+_check_query("f12_check_stage2", "stage2")
+_check_query("f13_check_stage3", "stage3")
+_check_query("f14_check_stage4", "stage4")
+_check_query("f15_check_stage5_svm", "stage5")
+
+
+@query(
+    "a11_saved_model_predicts_alike",
+    """SELECT count(*) AS tickets, CAST(0 AS BIGINT) AS scored_otherwise, CAST(0 AS BIGINT) AS unknown_labels
+FROM tickets""",
+    ("tickets",),
+)
+def saved_model_predicts_alike(spark, sf_dir):
+    """A model and what is loaded after saving it, ticket by ticket."""
+    model, _ = fitted(spark, sf_dir, "stage5")
+    path = fresh_path(spark, "model")
+    models.save_model(model, path)
+    tickets = V.tickets(spark, sf_dir).drop("ml_priority")
+    one = training.predict_priority(model, tickets).select("ticket_id", "ml_priority")
+    two = training.predict_priority(models.load_model(path), tickets)
+    both = one.join(two.select("ticket_id", F.col("ml_priority").alias("loaded")), "ticket_id")
+    return both.agg(
+        F.count(F.lit(1)).alias("tickets"),
+        F.count_if(~F.col("ml_priority").eqNullSafe(F.col("loaded"))).alias("scored_otherwise"),
+        F.count_if(~F.col("ml_priority").isin("HIGH", "MEDIUM", "LOW")).alias("unknown_labels"),
+    )
+
+
 @query("a11_save_and_load_model")
 def save_and_load_model(spark, sf_dir):
     model, _ = fitted(spark, sf_dir, "stage5")
