@@ -3,7 +3,7 @@
 A text's letters are cut into byte n-grams (2 to 4 bytes, never across two separators), each hashed to
 one of ``BUCKETS`` embeddings; their average goes through a linear softmax.  Embeddings and softmax are
 trained together by stochastic gradient descent in numpy, on windows of words of at most
-``SAMPLE_PER_LANG`` labelled documents a language (``fit``).  A tenth of the sample is kept from
+``SAMPLE_PER_LANG`` labelled documents a language and ``SAMPLE_ROWS`` in all (``fit``).  A tenth of the sample is kept from
 training: it sets the temperature of the softmax and the score below which a text is rejected, so that
 about ``REJECT_RATE`` of texts in a known language would be, and never more than those scored under one half.
 
@@ -12,7 +12,8 @@ For prediction the average and the linear layer commute, so every n-gram just ad
 
 Edge cases: a null text, and one without any letter, is ``und`` with score 0; one with letters but no
 n-gram gets the languages' shares; rows without a language or id train nothing or are still predicted;
-without any labelled row every text is ``und``, and only texts without letters are rejected.
+without any labelled row every text is ``und``, and only texts without letters are rejected.  Equal texts count once
+in training and score alike; ties of two languages go to the first in order; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -34,9 +35,12 @@ ORDERS = (2, 3, 4)
 BUCKETS = 1 << 15
 DIM = 12
 SAMPLE_PER_LANG = 1200
-MAX_LANGS = 200
+SAMPLE_ROWS = 240_000
+MAX_LANGS = 10_000
+WORD_BYTES = 240
 WINDOW_WORDS = (2, 5, 12, 40)
 STEPS = 600
+STEPS_PER_LANG = 20
 REJECT_RATE = 0.001
 BLOCK = 1 << 18
 
@@ -137,9 +141,11 @@ class Model:
 def train(examples: list[tuple[bytes, str]], steps: int = STEPS, batch: int = 64, rate: float = 12.0, seed: int = 7) -> Model:
     """Fit embeddings and softmax by SGD, then temperature and threshold on the part kept out.
 
-    At least three passes over the examples, and more where those are fewer than ``steps`` steps.
+    At least three passes over the examples, and more where those are fewer than ``steps`` steps, or than
+    ``STEPS_PER_LANG`` for each language.
     """
     langs = sorted({lang for _, lang in examples})
+    steps = max(steps, STEPS_PER_LANG * len(langs))
     if not langs:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0))
     number = {lang: i for i, lang in enumerate(langs)}
@@ -198,10 +204,20 @@ def windows(raw: bytes) -> list[bytes]:
     out = []
     for k, size in enumerate(WINDOW_WORDS):
         a = (seed >> (3 * k)) % max(1, len(words) - size + 1)
-        out.append(b" ".join(w[:64] for w in words[a : a + size]))
+        out.append(b" ".join(map(cut_word, words[a : a + size])))
     return list(dict.fromkeys(out))
 
 
+def cut_word(word: bytes) -> bytes:
+    """A word of at most ``WORD_BYTES``, whole characters only: scripts without blanks have very long words."""
+    if len(word) <= WORD_BYTES:
+        return word
+    end = WORD_BYTES
+    while word[end] & 0xC0 == 0x80:
+        end -= 1
+    return word[:end]
+
+
 def held_out(key) -> F.Column:
     """Rows that no model may learn from: the checksum of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -212,17 +228,24 @@ def sample_share(n: int, most: int) -> float:
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Model:
-    """Train on the windows of about ``per_lang`` labelled rows a language, chosen by a hash of the id.
+    """Train on the windows of about ``per_lang`` labelled texts a language, ``SAMPLE_ROWS`` in all, chosen by a
+    hash of the text.
 
-    At most the ``MAX_LANGS`` most frequent languages are learned.
+    Equal texts count as one, so no text fills the sample.  The languages are all that occur, the most frequent
+    ``MAX_LANGS`` where a column holds more different values than there are languages.
     """
     usable = df.filter(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = usable.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang).limit(MAX_LANGS).collect()
-    if not counts:
+    usable = usable.select(F.col(lang).alias("name"), F.col(text).alias("said"))
+    counted = usable.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(MAX_LANGS).collect()
+    if not counted:
         return train([])
-    shares = F.create_map(*(x for r in counts for x in (F.lit(r[0]), F.lit(sample_share(r["n"], per_lang)))))
-    draw = F.pmod(F.xxhash64(F.lit("language"), F.col(key), F.col(text)), F.lit(1_000_000)) / 1_000_000
-    chosen = usable.filter(draw < F.coalesce(shares[F.col(lang)], F.lit(0.0))).select(lang, text)
+    each = max(1, min(per_lang, SAMPLE_ROWS // len(counted)))
+    shares = df.sparkSession.createDataFrame(
+        [(r["name"], sample_share(r["n"], each)) for r in counted], "of string, share double"
+    )  # at most MAX_LANGS rows
+    draw = F.pmod(F.xxhash64(F.lit("language"), F.col("said")), F.lit(1_000_000)) / 1_000_000
+    drawn = usable.join(F.broadcast(shares), F.col("name") == F.col("of")).filter(draw < F.col("share"))
+    chosen = drawn.select("name", "said").distinct().limit(2 * each * len(counted))
 
     def run(batches):
         for batch in batches:

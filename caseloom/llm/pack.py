@@ -13,7 +13,8 @@ Ids are those of the tokenizers library for the vocabulary file; they are comput
 same vocabulary, which is four times as fast and gives equal ids (compared in the tests).
 
 Edge cases: a null or empty text is the end id alone; repeated rows and null ids are packed like any
-other row; an empty table gives an empty result.
+other row; long texts are cut into as many pieces as they need, also where white space runs for millions of
+characters; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,21 +41,47 @@ UNITS = 128
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.tiktoken"
 END_OF_TEXT = ("<|endoftext|>", 50256)
+LONG_BLANK = 100_000
+_LONG_BLANK = regex.compile(r"\p{White_Space}{%d,}" % LONG_BLANK)
+
+
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
 @functools.cache
 def encoder(path: str) -> tiktoken.Encoding:
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding(
-        "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict([END_OF_TEXT])
+        "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(path), special_tokens=dict([END_OF_TEXT])
     )
 
 
+@functools.cache
+def _blank_encoder(path: str) -> tiktoken.Encoding:
+    """An encoder for which a run of white space is one piece; its pattern needs no look-ahead."""
+    return tiktoken.Encoding("blanks", pat_str=r"\s+", mergeable_ranks=_ranks(path), special_tokens={})
+
+
+def encode(said: str, path: str) -> list[int]:
+    """Ids of a text.
+
+    The library gives up on white space of about a million characters.  Such runs are cut out where its pattern
+    ends a piece: a run is one piece, but for its last character where more text follows that is not the special token.
+    """
+    known, ids, at = encoder(path), [], 0
+    for run in _LONG_BLANK.finditer(said) if len(said) >= LONG_BLANK else ():
+        last = run.end() == len(said) or said.startswith(END_OF_TEXT[0], run.end())
+        stop = run.end() if last else run.end() - 1
+        ids += known.encode(said[at : run.start()], allowed_special="all", disallowed_special=())
+        ids += _blank_encoder(path).encode_ordinary(said[run.start() : stop])
+        at = stop
+    return ids + known.encode(said[at:], allowed_special="all", disallowed_special=())
+
+
 def token_ids(text: bytes | None, path: str, end_id: int = END_ID) -> np.ndarray:
     """A document's ids and the end id, as little-endian unsigned 32-bit numbers."""
-    said = (text or b"").decode("utf-8", "replace")
-    ids = encoder(path).encode(said, allowed_special="all", disallowed_special=())
+    ids = encode((text or b"").decode("utf-8", "replace"), path)
     ids.append(end_id)
     return np.array(ids, "<u4")
 

@@ -15,6 +15,7 @@ always add up to its tokens.  A token that is part of one character has that cha
 Edge cases: a null or empty text has no token and no section row unless sections are given (those count
 0); null or absent sections put all tokens under the null name; spans beyond the text are cut to
 it, sections of no character count 0; repeated rows give repeated results; ids may be null.
+Long texts are encoded whole, also where white space runs for millions of characters; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseloom.llm.common import read_table, text_bytes
-from caseloom.llm.pack import END_OF_TEXT, VOCABULARY, encoder
+from caseloom.llm.pack import END_OF_TEXT, VOCABULARY, encode, encoder
 from caseloom.llm.registry import query
 
 RULES = ("start", "majority", "split")
@@ -54,7 +55,7 @@ def _lengths(path: str) -> np.ndarray:
 
 def token_spans(text: str, path: str) -> tuple[np.ndarray, np.ndarray]:
     """First and one-past-last character of every token of a text."""
-    ids = encoder(path).encode(text, allowed_special="all", disallowed_special=())
+    ids = encode(text, path)
     if not ids:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     stops = np.cumsum(_lengths(path)[ids])

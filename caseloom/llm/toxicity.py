@@ -21,6 +21,8 @@ lexicon has not seen.
 
 Edge cases: null, empty and word-less texts have no segment and score the probability at no evidence;
 without labels, or with one label only, there is no lexicon and every text scores the share of toxic rows.
+Repeated rows count once in training, and an id or text with very many rows fills no sample; equal texts score alike.
+Long texts are scanned whole.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.llm.common import read_table, text_bytes, with_fields
+from caseloom.llm.common import keep, read_table, text_bytes, with_fields
 from caseloom.llm.decontaminate import broadcast_checked
 from caseloom.llm.language_id import held_out, sample_share
 from caseloom.llm.registry import query
@@ -221,7 +223,11 @@ def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
     rows: int = LABELLED_ROWS,
 ) -> Model:
-    """Train on labelled rows outside the held-out part; a text with several labels takes the largest."""
+    """Train on labelled rows outside the held-out part; a text with several labels takes the largest.
+
+    About ``rows`` label rows are drawn by a hash of the id, and at most ``rows`` different texts under their ids
+    reach the driver, drawn by a hash of the text, however many rows an id or a text has.
+    """
     usable = labels.filter(~held_out(key) & F.col(label).isNotNull() & F.col(key).isNotNull())
     share = sample_share(usable.count(), rows)
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col(key)), F.lit(1_000_000)) / 1_000_000
@@ -229,7 +235,11 @@ def fit(
     picked = docs.select(F.col(key).alias("id"), F.col(text).alias("said")).join(
         broadcast_checked(chosen), F.col("id") == F.col("labelled")
     )
-    found = picked.filter("said is not null").groupBy("said").agg(F.max("label").alias("label")).collect()
+    texts = keep(
+        picked.filter("said is not null").groupBy("said").agg(F.max("label").alias("label")), "toxicity-sample"
+    )
+    lot = F.pmod(F.xxhash64(F.lit("text"), F.col("said")), F.lit(1_000_000)) / 1_000_000
+    found = texts.filter(lot < sample_share(texts.count(), rows)).limit(rows).collect()
     return train(sorted((r.said.encode(), r.label) for r in found))
 
 
