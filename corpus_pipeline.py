@@ -31,10 +31,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates: fingerprints of five-word shingles that agree
-    in at least 60 of 64 bits, which is a similarity of 0.94."""
+    """Keep one document of each group of near-duplicates: fingerprints of four-word shingles that agree
+    in at least 60 of 64 bits, linked through others or directly."""
     ship_code(spark)
-    return drop_near_duplicates(docs, words=5, radius=4)
+    return drop_near_duplicates(docs, words=4, radius=4)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
