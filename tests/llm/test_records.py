@@ -190,7 +190,7 @@ def test_pipeline_stages(spark):
             assert after == set(best.values())
         elif name == "near_dedup":
             ids = list(before)
-            lows = slow_groups(ids, [slow_simhash(before[i], 5) for i in ids], 4)
+            lows = slow_groups(ids, [slow_simhash(before[i], 4) for i in ids], 4)
             assert after == {i for i, low in zip(ids, lows) if i == low}
         else:
             assert after == {x[0] for x in slow_contamination(before.items(), items) if not x[4]}
