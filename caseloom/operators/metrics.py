@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 from caseloom import fixed_values as fixed
 
 LABELS = ("HIGH", "LOW", "MEDIUM")
-MAX_LABELS = 1000
 
 
 def label_counts(df: DataFrame, label: str = fixed.LABEL_COLUMN) -> DataFrame:
@@ -112,17 +111,37 @@ def metrics_record(predictions: DataFrame, model: str | None = None) -> DataFram
     return record.withColumn("model", F.lit(model)) if model else record
 
 
+def confusion_counts(predictions: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
+    """The matrix in long form, zeros included: (actual_priority, predicted_priority, n).
+
+    Labels are those of ``labels`` and of either side, as many as there are; a label without an actual row stands on
+    the actual side only if it is in ``labels``.  Nothing runs before the result is asked for.
+    """
+    counts = prediction_counts(predictions).filter(
+        "actual_priority IS NOT NULL AND predicted_priority IS NOT NULL"
+    )
+    given = F.array(*map(F.lit, labels)).cast("array<string>")
+    seen = counts.agg(
+        F.collect_set("actual_priority").alias("down"), F.collect_set("predicted_priority").alias("across")
+    )
+    down = F.array_sort(F.array_union(given, F.col("down")))
+    across = F.array_sort(F.array_union(F.array_union(given, F.col("down")), F.col("across")))
+    lines = seen.select(across.alias("across"), F.explode(down).alias("actual_priority"))
+    cells = lines.select("actual_priority", F.explode("across").alias("predicted_priority"))
+    counted = cells.join(counts, ["actual_priority", "predicted_priority"], "left")
+    return counted.select(
+        "actual_priority", "predicted_priority", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
+    )
+
+
 def confusion_matrix(predictions: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     """Actual labels down, predicted labels across, both in sorted order.
 
     Down go the labels that occur, across those and what else was predicted, so no row is left out;
-    ``labels`` stand on both sides, as zeros where absent.  One pass counts the pairs; more than
-    ``MAX_LABELS`` different pairs are an error, since these counts are collected.
+    ``labels`` stand on both sides, as zeros where absent.  A table needs to know its columns, so this form counts
+    at once, one row per pair of labels, and gathers those; ``confusion_counts`` is the form that waits.
     """
-    counted = prediction_counts(predictions).limit(MAX_LABELS + 1).collect()
-    if len(counted) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} pairs of labels")
-    n = {(r.actual_priority, r.predicted_priority): r.n for r in counted}
+    n = {(r[0], r[1]): r[2] for r in prediction_counts(predictions).collect()}
     down = sorted({*labels, *(a for a, _ in n if a is not None)})
     across = sorted({*down, *(p for _, p in n if p is not None)})
     rows = [(a, *(n.get((a, p), 0) for p in across)) for a in down]

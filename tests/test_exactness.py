@@ -114,3 +114,17 @@ def test_incident_memory_check(spark, tmp_path):
     said = {n: tuple(knowledge_base.check_incident_memory(spark, str(tmp_path / n)).first()) for n in ("there", "empty", "bare", "none")}
     assert said["there"] == (True, "ok")
     assert not any(said[n][0] for n in ("empty", "bare", "none"))
+
+
+def test_two_hundred_labels(spark):
+    """All pairs occur but for one row; wide and long forms agree, and the long one waits."""
+    pairs = spark.range(200 * 200).selectExpr(
+        "concat('L', id div 200) AS actual_priority", "concat('L', id % 200) AS predicted_priority"
+    ).filter("actual_priority <> 'L7'")
+    matrix = metrics.confusion_matrix(pairs, labels=()).collect()
+    assert len(matrix) == 199 and len(matrix[0]) == 200  # L7 is still predicted
+    matrix = metrics.confusion_matrix(pairs).collect()
+    long = {(r[0], r[1]): r[2] for r in metrics.confusion_counts(pairs).collect()}
+    assert long == {(r.actual_priority, c): r[c] for r in matrix for c in r.asDict() if c != "actual_priority"}
+    empty = metrics.confusion_counts(pairs.limit(0)).collect()
+    assert len(empty) == 9 and all(r.n == 0 for r in empty)

@@ -108,6 +108,19 @@ def confusion_matrix(spark, sf_dir):
     return metrics.confusion_matrix(V.predictions(spark, sf_dir))
 
 
+@query(
+    "e8_confusion_counts",
+    """SELECT a.actual_priority, p.predicted_priority, count(x.row_id) AS n
+FROM (SELECT unnest(['HIGH', 'LOW', 'MEDIUM']) AS actual_priority) a
+CROSS JOIN (SELECT unnest(['HIGH', 'LOW', 'MEDIUM']) AS predicted_priority) p
+LEFT JOIN predictions x ON x.actual_priority = a.actual_priority AND x.predicted_priority = p.predicted_priority
+GROUP BY 1, 2""",
+    ("predictions",),
+)
+def confusion_counts(spark, sf_dir):
+    return metrics.confusion_counts(V.predictions(spark, sf_dir))
+
+
 @query("e9_classification_report", REPORT_SQL, ("class_scores",))
 def classification_report(spark, sf_dir):
     return rounded_report(metrics.classification_report(V.predictions(spark, sf_dir)))
