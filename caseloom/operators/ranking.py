@@ -146,6 +146,24 @@ def select_from(
     return F.transform(chosen, lambda r: F.get(F.filter(reranked, lambda c: c["place"] == r), F.lit(0)))
 
 
+def with_texts(incidents: Column | str, candidates: Column | str, fields: Sequence[str]) -> Column:
+    """Reranked incidents with the texts of the candidates they came from.
+
+    Reranking and choice pass candidates from array to array, and each time copy what these hold; so they work on
+    the short fields, and texts join only what is left.
+    """
+    candidates = col_of(candidates)
+    texts = [c for c in TEXTS if c in fields]
+
+    def joined(c: Column) -> Column:
+        own = F.get(candidates, c["place"] - 1)
+        for text in texts:
+            c = c.withField(text, own[text])
+        return c
+
+    return F.transform(col_of(incidents), joined) if texts else col_of(incidents)
+
+
 def serialize_incident(c: Column) -> Column:
     """Output form of an incident struct."""
     distance = F.coalesce(c["distance"].cast("double"), F.lit(0.0))
@@ -164,7 +182,5 @@ def serialize_incident(c: Column) -> Column:
     )
 
 
-
-
 def limit_results(evidence: Column | str, top_k: int = fixed.EVIDENCE_LIMIT) -> Column:
     return F.slice(col_of(evidence), 1, top_k)

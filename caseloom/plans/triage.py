@@ -25,10 +25,12 @@ from caseloom.functions.text import build_query
 from caseloom.operators.clean import strip_upper
 from caseloom.operators.ranking import (
     PAYLOAD,
+    TEXTS,
     candidates_per_query,
     rerank,
     select_from,
     serialize_incident,
+    with_texts,
 )
 from caseloom.operators.retrieval import knn_topk, overfetch_k, retrieved_incidents
 from caseloom.operators.voting import (
@@ -111,15 +113,16 @@ def attach_candidates(tickets: DataFrame, candidates: DataFrame | None) -> DataF
 
 
 def select_evidence(
-    tickets: DataFrame, candidates: DataFrame | None, top_k: int = fixed.EVIDENCE_LIMIT
+    tickets: DataFrame, candidates: DataFrame | None, top_k: int = fixed.EVIDENCE_LIMIT, texts: bool = True
 ) -> DataFrame:
-    """Tickets with ``reranked`` candidates and the chosen ``evidence``."""
+    """Tickets with ``reranked`` candidates, without their texts, and the chosen ``evidence``, with them if wanted."""
     with_candidates = attach_candidates(tickets, candidates)
     fields = with_candidates.schema["candidates"].dataType.elementType.names
-    payload = [c for c in PAYLOAD if c in fields]
-    return with_candidates.withColumn(
+    payload = [c for c in PAYLOAD if c in fields and c not in TEXTS]
+    chosen = with_candidates.withColumn(
         "reranked", rerank("candidates", "repeats", "queue", "type", "ml_priority", payload)
     ).withColumn("evidence", select_from("reranked", "queue", max_results=top_k))
+    return chosen.withColumn("evidence", with_texts("evidence", "candidates", fields)) if texts else chosen
 
 
 def assess(selected: DataFrame, guardrail: bool = True) -> DataFrame:
@@ -143,7 +146,7 @@ def triage_core(
     guardrail: bool = True,
 ) -> DataFrame:
     """Priority, confidence and evidence ids per ticket, without any text."""
-    assessed = assess(select_evidence(tickets, candidates, top_k), guardrail)
+    assessed = assess(select_evidence(tickets, candidates, top_k, texts=False), guardrail)
     return assessed.select(
         "ticket_id",
         "type",
@@ -160,7 +163,7 @@ def triage_core(
     )
 
 
-def _serialized(incidents: str) -> Column:
+def _serialized(incidents: str | Column) -> Column:
     return F.transform(incidents, serialize_incident)
 
 
@@ -194,12 +197,13 @@ def triage(
     from ``retrieve_candidates``, or is None to work without retrieval.  ``decision_text`` names a
     ticket column with generated text; tickets without one get the fallback document.
     """
-    row = assess(select_evidence(predicted(tickets, model), candidates, top_k), guardrail)
+    row = assess(select_evidence(predicted(tickets, model), candidates, top_k, texts=False), guardrail)
     fallback = fallback_decision(
         "recommended_priority", "ml_priority", "confidence_score", "confidence_level"
     )
     text = F.coalesce(F.col(decision_text), fallback) if decision_text else fallback
     row = row.withColumn("document", text).withColumn("parsed", parse_decision_output("document"))
+    row = row.withColumn("evidence", with_texts("evidence", "candidates", PAYLOAD))
     outputs = {
         "input_issue": F.col("issue"),
         "input_type": F.col("type"),
@@ -228,7 +232,7 @@ def triage(
         )
         columns += [
             _serialized_raw("candidates").alias("raw_retrieved_incidents"),
-            _serialized("reranked").alias("reranked_incidents"),
+            _serialized(with_texts("reranked", "candidates", PAYLOAD)).alias("reranked_incidents"),
             _serialized("evidence").alias("deduplicated_incidents"),
             summary.alias("evidence_summary"),
             prompt.alias("prompt"),

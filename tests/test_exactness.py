@@ -122,7 +122,7 @@ def test_two_hundred_labels(spark):
         "concat('L', id div 200) AS actual_priority", "concat('L', id % 200) AS predicted_priority"
     ).filter("actual_priority <> 'L7'")
     matrix = metrics.confusion_matrix(pairs, labels=()).collect()
-    assert len(matrix) == 199 and len(matrix[0]) == 200  # L7 is still predicted
+    assert len(matrix) == 199 and len(matrix[0]) == 201  # L7 is still predicted
     matrix = metrics.confusion_matrix(pairs).collect()
     long = {(r[0], r[1]): r[2] for r in metrics.confusion_counts(pairs).collect()}
     assert long == {(r.actual_priority, c): r[c] for r in matrix for c in r.asDict() if c != "actual_priority"}
