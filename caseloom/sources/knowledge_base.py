@@ -1,7 +1,13 @@
-"""The knowledge base: JSON lines in, a Parquet table of incidents with vectors out."""
+"""The knowledge base: JSON lines in, a Parquet table of incidents with vectors out.
+
+A published memory is a folder with ``versions`` and ``pointers``.  A rebuild writes a version of its own, searches in it, and
+only then adds a line to the pointers; a reader takes the last line once and stays with that version.  So nobody
+ever sees half a table, and a rebuild that fails, at whatever point, changes nothing for readers.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -9,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseloom.operators.encoder import Encoder, encode
 from caseloom.operators.retrieval import embed_text, knn_topk
 
 TEXT_FIELDS = (
@@ -22,6 +29,7 @@ TEXT_FIELDS = (
     "priority",
 )
 # Tags may be a list or a text.  Read as text, a list arrives as its JSON.
+POINTER_SCHEMA = "sequence long, folder string"
 KB_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in (*TEXT_FIELDS, "tags")])
 
 
@@ -56,20 +64,55 @@ def write_incident_memory(rows: DataFrame, path: str) -> None:
 
 
 def rebuild_incident_memory(
-    spark: SparkSession, kb_path: str, path: str, encoder: Callable
-) -> None:
-    """JSON lines to incident table in one distributed job."""
+    spark: SparkSession, kb_path: str, path: str, encoder: Callable | Encoder
+) -> str:
+    """JSON lines to a newly published version below ``path``, whose folder is returned.
+
+    ``encoder`` is what ``embed_text`` takes, or a fitted ``Encoder``.
+    """
     flat = flatten_kb_metadata(read_kb_jsonl(spark, kb_path))
-    write_incident_memory(embed_text(flat, encoder, text="retrieval_text"), path)
+    if isinstance(encoder, Encoder):
+        return publish_incident_memory(encode(flat, encoder, "retrieval_text"), path)
+    return publish_incident_memory(embed_text(flat, encoder, text="retrieval_text"), path)
+
+
+def publish_incident_memory(rows: DataFrame, path: str) -> str:
+    """Write ``rows`` as a version below ``path``, check that a search finds something, and point readers to it.
+
+    The pointer is one row of a table that is only appended to; Spark shows an appended file when its job is
+    committed, not before.  Of publishers at the same time the one with the larger folder name wins.
+    """
+    spark, last = rows.sparkSession, _last_pointer(rows.sparkSession, path)
+    folder = f"{path}/versions/{uuid.uuid4().hex}"
+    rows.write.parquet(folder)
+    answer = check_incident_memory(spark, folder).first()
+    if not answer["valid"]:
+        raise ValueError(f"not published: {answer['reason']}")
+    line = [((last["sequence"] if last else 0) + 1, folder.removeprefix(f"{path}/"))]
+    pointer = spark.createDataFrame(line, POINTER_SCHEMA).coalesce(1)
+    pointer.write.mode("append").json(f"{path}/pointers")
+    return folder
+
+
+def _last_pointer(spark: SparkSession, path: str):
+    try:
+        pointers = spark.read.schema(POINTER_SCHEMA).json(f"{path}/pointers")
+        return pointers.orderBy(F.desc("sequence"), F.desc("folder")).first()
+    except AnalysisException:  # nothing was published there
+        return None
 
 
 def open_incident_memory(spark: SparkSession, path: str) -> DataFrame:
-    """The incident table at a path, or of a catalog name, with tags as a list."""
+    """The incident table at a path, published there or of a catalog name, with tags as a list.
+
+    A published one is the version that was last when it is opened, however long it is read.
+    """
     if "/" not in path and spark.catalog.tableExists(path):
         memory = spark.table(path)
     else:
+        pointer = _last_pointer(spark, path)
         try:
-            memory = spark.read.parquet(path)
+            memory = spark.read.parquet(f"{path}/{pointer['folder']}" if pointer else path)
         except AnalysisException as missing:
             raise FileNotFoundError(f"no incident table at {path}") from missing
     if dict(memory.dtypes).get("tags") == "string":

@@ -8,7 +8,7 @@ import check
 from __spark_entry__ import entry, oracle_sql, queries
 from caseloom import session
 from caseloom.operators import requests
-from caseloom.streaming.triage_stream import search_in, triage_stream
+from caseloom.streaming.triage_stream import read_stream_output, search_in, triage_stream
 
 SF_DIR = "/root/testdata/sf0.001"
 TICKET = "ticket_id long, issue string, type string, queue string, ml_priority string, query_key long"
@@ -60,6 +60,42 @@ def test_stream(spark, tmp_path):
     assert rows[3].recommended_priority == "LOW" and rows[3].evidence == []
 
 
+def test_stream_goes_on_after_a_failure(spark, tmp_path):
+    """A batch that fails half way is repeated by the next start; nothing is lost or there twice."""
+    source, out, rejects, state = (str(tmp_path / d) for d in ("in", "out", "rejects", "state"))
+    kb = spark.createDataFrame(
+        [(f"d{i}", [float(i), 1.0], "abcdef"[i] * 12, "r", "INCIDENT", "QQ", "HIGH", ["t"], "x") for i in range(6)],
+        "doc_id string, embedding array<double>, issue_description string, resolution string, "
+        "type string, queue string, priority string, tags array<string>, retrieval_text string",
+    )
+    vectors = spark.createDataFrame([(1, [0.0, 1.0])], "query_id long, embedding array<double>")
+    find, calls = search_in(kb), []
+
+    def failing(asked):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return find(asked)
+
+    for n in range(3):
+        rows = [(10 * n + i, "some issue" if i else "bad", "incident ", "QQ", "LOW", 1) for i in range(3)]
+        spark.createDataFrame(rows, TICKET).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(TICKET).option("maxFilesPerTrigger", 1).parquet(source)
+        triage_stream(
+            stream, vectors, failing, out, state, trigger={"availableNow": True}, rejects=rejects
+        ).awaitTermination()
+
+    with pytest.raises(Exception, match="lost"):
+        run()
+    assert read_stream_output(spark, out).count() == 2  # the first batch alone
+    run()
+    done = sorted(r.ticket_id for r in read_stream_output(spark, out).collect())
+    refused = sorted(r.ticket_id for r in read_stream_output(spark, rejects).collect())
+    assert done == [1, 2, 11, 12, 21, 22] and refused == [0, 10, 20]
+
+
 def test_session_helpers(spark):
     assert session.shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
     df = spark.range(20)

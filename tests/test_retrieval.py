@@ -149,3 +149,36 @@ def test_kb_errors(spark, tmp_path):
         kbs.read_kb_jsonl(spark, str(broken), require_rows=False).agg(F.max("doc_id")).collect()
     with pytest.raises(FileNotFoundError):
         kbs.open_incident_memory(spark, str(tmp_path / "absent"))
+
+
+def test_failed_rebuild_leaves_the_published_memory(spark, tmp_path):
+    source = tmp_path / "kb.jsonl"
+    source.write_text(KB_LINES)
+    target = str(tmp_path / "memory")
+    first = kbs.rebuild_incident_memory(spark, str(source), target, lambda: lambda texts: np.ones((len(texts), 2)))
+    reader = kbs.open_incident_memory(spark, target)
+
+    def broken():
+        raise RuntimeError("no model")
+
+    for encoder, error in ((broken, "no model"), (lambda: lambda texts: np.zeros((len(texts), 2)) * np.nan, "finds nothing")):
+        with pytest.raises(Exception, match=error):
+            kbs.rebuild_incident_memory(spark, str(source), target, encoder)
+        again = kbs.open_incident_memory(spark, target)
+        assert sorted(r.doc_id for r in again.collect()) == ["7", "x", "y"] and first in again.inputFiles()[0]
+    source.write_text(KB_LINES + '{"doc_id": "z", "retrieval_text": "new"}')
+    second = kbs.rebuild_incident_memory(spark, str(source), target, lambda: lambda texts: np.ones((len(texts), 2)))
+    assert second != first and kbs.open_incident_memory(spark, target).count() == 4
+    assert reader.count() == 3  # who had opened the first version still reads it
+    assert kbs.check_incident_memory(spark, target).first().valid
+
+
+def test_memory_by_a_fitted_encoder(spark, tmp_path):
+    from caseloom.operators.encoder import fit_encoder
+
+    source = tmp_path / "kb.jsonl"
+    source.write_text("\n".join(f'{{"doc_id": "d{i}", "retrieval_text": "login case {i % 3}"}}' for i in range(9)))
+    fitted = fit_encoder(kbs.read_kb_jsonl(spark, str(source)), "retrieval_text", dimensions=2)
+    kbs.rebuild_incident_memory(spark, str(source), str(tmp_path / "memory"), fitted)
+    memory = kbs.open_incident_memory(spark, str(tmp_path / "memory"))
+    assert kbs.verify_incident_memory(memory).first().dim_min == 2

@@ -13,9 +13,10 @@ from caseloom.plans import triage as T
 from caseloom.plans.evaluation import evaluate_cases
 from caseloom.plans.text_search import build_text_memory, requests_and_candidates
 from caseloom.session import fresh_path
-from caseloom.streaming.triage_stream import triage_stream
+from caseloom.streaming.triage_stream import read_stream_output, search_in, triage_stream
 from workload import sql as S
 from workload import views as V
+from workload.cleaning_queries import REJECT_SQL
 from workload.learning_queries import fitted
 from workload.registry import ORACLES, query
 from workload.source_queries import evaluation_sql, query_text_sql
@@ -709,6 +710,82 @@ def stream(spark, sf_dir):
     )
 
 
+STREAM_PARTS = 4
+
+
+@query(
+    "h6_triage_stream_restarted",
+    f"""SELECT t.ticket_id, coalesce(r.reject_reason, 'triaged') AS outcome,
+  CASE WHEN r.reject_reason IS NULL THEN t.recommended_priority END AS recommended_priority,
+  CASE WHEN r.reject_reason IS NULL THEN t.evidence_ids END AS evidence_ids
+FROM assessed t JOIN ({REJECT_SQL}) r USING (ticket_id)""",
+    ("assessed", "raw_tickets"),
+)
+def restarted_stream(spark, sf_dir):
+    """Spoilt tickets in several files, one a micro-batch; the stream ends when half of them are there and is
+    started again from its checkpoint for the rest.  Accepted and rejected tickets are read back together."""
+    events, incoming = V.table(spark, sf_dir, "events"), fresh_path(spark, "stream-in")
+    outputs = {name: fresh_path(spark, f"stream-{name}") for name in ("out", "rejects", "state")}
+    n_vectors = V.table(spark, sf_dir, "embeddings").count()
+    kb, vectors = V.knowledge_base(spark, sf_dir), V.query_vectors(spark, sf_dir)
+    index = retrieval.prepare_index(kb)
+
+    def find_candidates(asked):
+        hits = V.other_hits(asked, index, retrieval.overfetch_k())
+        return T.retrieve_candidates(asked, kb, threshold=EQUAL, hits=hits)
+
+    part = F.pmod(F.xxhash64("event_id"), F.lit(STREAM_PARTS))
+    for some in (part < STREAM_PARTS // 2, part >= STREAM_PARTS // 2):
+        arrived = events.filter(some).repartition(STREAM_PARTS // 2)
+        arrived.write.mode("append").parquet(incoming)
+        source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+        triage_stream(
+            V.spoilt(V.tickets_from_events(source, n_vectors)), vectors, find_candidates,
+            outputs["out"], outputs["state"], trigger={"availableNow": True}, rejects=outputs["rejects"],
+        ).awaitTermination()
+    done, refused = (read_stream_output(spark, outputs[name]) for name in ("out", "rejects"))
+    ids = F.array_join(F.transform("evidence", lambda e: e["doc_id"]), ",")
+    nothing = F.lit(None).cast("string")
+    return done.select(
+        "ticket_id", F.lit("triaged").alias("outcome"), "recommended_priority", ids.alias("evidence_ids")
+    ).unionAll(refused.select("ticket_id", "reject_reason", nothing, nothing))
+
+
+@query("h6_triage_stream_with_model")
+def stream_with_model(spark, sf_dir):
+    """Tickets without a priority: the last model predicts it inside the stream."""
+    events = V.table(spark, sf_dir, "events")
+    model, _ = fitted(spark, sf_dir, "stage5")
+    n_vectors = V.table(spark, sf_dir, "embeddings").count()
+    kb, output = V.knowledge_base(spark, sf_dir), fresh_path(spark, "stream-out")
+    arriving = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events*.parquet")
+    triage_stream(
+        V.tickets_from_events(arriving, n_vectors).drop("ml_priority"), V.query_vectors(spark, sf_dir),
+        search_in(kb, metric="cosine"), output, fresh_path(spark, "stream-state"), model=model,
+        trigger={"availableNow": True},
+    ).awaitTermination()
+    return _flat(read_stream_output(spark, output), "ml_predicted_priority")
+
+
+@query("h3_triage_debug_with_model")
+def triage_debug_with_model(spark, sf_dir):
+    model, _ = fitted(spark, sf_dir, "stage5")
+    tickets = V.tickets(spark, sf_dir).drop("ml_priority")
+    rows = T.triage(tickets, candidates(spark, sf_dir, EQUAL), debug=True, model=model)
+    return rows.select("ticket_id", "ml_predicted_priority", "evidence_summary", F.md5("prompt").alias("prompt"))
+
+
+@query("h5_triage_report_with_model")
+def triage_report_with_model(spark, sf_dir):
+    """The report text for tickets whose priority the model predicts."""
+    model, _ = fitted(spark, sf_dir, "stage5")
+    tickets = T.predicted(V.tickets(spark, sf_dir).drop("ml_priority"), model)
+    generated = V.generated_text(F.col("ml_priority"), F.lit("Medium"), F.col("ticket_id"))
+    return T.triage_report_text(
+        tickets.withColumn("text", generated), candidates(spark, sf_dir, EQUAL), decision_text="text"
+    )
+
+
 @query(
     "b14_to_analysis_result",
     f"""SELECT ticket_id, ml_priority, recommended_priority, confidence_score,

@@ -114,6 +114,19 @@ def write_incident_memory(spark, sf_dir):
     return spark.read.parquet(_written_memory(spark, sf_dir)).select(*KB_FIELDS)
 
 
+@query("a5_publish_incident_memory", KB_SQL, ("kb_all",))
+def publish_incident_memory(spark, sf_dir):
+    """Published twice, the second time with everything; in between a version without vectors is refused."""
+    rows, path = spark.read.parquet(_written_memory(spark, sf_dir)), fresh_path(spark, "published-memory")
+    knowledge_base.publish_incident_memory(rows.filter("embedding IS NOT NULL"), path)
+    try:
+        knowledge_base.publish_incident_memory(rows.filter("embedding IS NULL"), path)
+    except ValueError:
+        knowledge_base.publish_incident_memory(rows, path)
+    memory = knowledge_base.open_incident_memory(spark, path)
+    return memory.withColumn("tags", F.array_join("tags", ", ")).select(*KB_FIELDS)
+
+
 METRICS_SQL = """SELECT round(sum(hits) / sum(support), 4) AS accuracy,
   round(avg(f1_score), 4) AS macro_f1,
   round(sum(f1_score * support) / sum(support), 4) AS weighted_f1,

@@ -94,17 +94,18 @@ def tickets_from_events(events: DataFrame, n_vectors: int) -> DataFrame:
 
 def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests as they arrive, some of them breaking a rule."""
+    return spoilt(tickets(spark, sf_dir)).select("ticket_id", "issue", "type", "queue")
+
+
+def spoilt(rows: DataFrame) -> DataFrame:
+    """Tickets some of which break a rule."""
     key = F.col("ticket_id")
-    return tickets(spark, sf_dir).select(
-        "ticket_id",
-        F.when(key % 41 == 0, "bad ").when(key % 47 == 0, "  oh  ").otherwise(F.col("issue")).alias(
-            "issue"
-        ),
-        F.when(key % 37 == 0, "QUESTION")
-        .when(key % 43 == 0, F.lit(None))
-        .otherwise(F.col("type"))
-        .alias("type"),
-        F.when(key % 53 == 0, "X").otherwise(F.col("queue")).alias("queue"),
+    return rows.withColumns(
+        {
+            "issue": F.when(key % 41 == 0, "bad ").when(key % 47 == 0, "  oh  ").otherwise(F.col("issue")),
+            "type": F.when(key % 37 == 0, "QUESTION").when(key % 43 == 0, F.lit(None)).otherwise(F.col("type")),
+            "queue": F.when(key % 53 == 0, "X").otherwise(F.col("queue")),
+        }
     )
 
 
