@@ -25,6 +25,28 @@ from caseloom.functions.text import col_of, normalize_text
 
 REMEMBERED_PAIRS = 100_000
 CHECK_EVERY = 128
+AUTOJUNK_CHARS = 200  # from here on frequent letters are no anchors
+CHUNK_SHARE = 0.2  # of the letters between two anchors that a chunk spans
+
+
+def most_blocks(length: int, anchors: int, other: int, threshold: float) -> int:
+    """The most matching blocks that a text can have with another of ``other`` letters at the threshold.
+
+    A block has an anchor of the second text, which has ``anchors``, or is a beginning that both share, of which
+    there is one: each further search starts where the letters differ.  In texts with all letters as anchors, blocks
+    are parted by letters that do not match, and these are few.
+    """
+    if length >= AUTOJUNK_CHARS:
+        return anchors + 1
+    return int((1.0 - threshold) * (length + other) + 1e-6) + 1
+
+
+def count_anchors(text: str) -> int:
+    """Places of letters that are no more frequent than the rule for anchors allows."""
+    if len(text) < AUTOJUNK_CHARS:
+        return len(text)
+    often = np.bincount(_codes(text), minlength=128)
+    return int(often[often <= len(text) // 100 + 1].sum())
 
 
 @F.pandas_udf(T.DoubleType())
@@ -47,16 +69,23 @@ def is_near_duplicate(
     la, lb = F.length(na), F.length(nb)
     hopeless = 2.0 * F.least(la, lb) < threshold * (la + lb) - 1e-6
 
+    near = plain_texts_are_near(threshold)
+    open_case = (na != "") & (nb != "") & (na != nb) & ~hopeless
+    # Only open cases carry their texts to Python.
+    asked = near(F.when(open_case, na), F.when(open_case, nb))
+    return F.when((na == "") | (nb == ""), False).when(na == nb, True).otherwise(asked)
+
+
+def plain_texts_are_near(threshold: float):
+    """A function of two columns of different, normalised texts: whether they reach the ratio; null reaches none."""
+
     @F.pandas_udf(T.BooleanType())
     def near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         comparer = _Comparer(threshold)
         for left, right in batches:
             yield pd.Series([comparer.pair(x, y) for x, y in zip(left, right)], dtype=bool)
 
-    open_case = (na != "") & (nb != "") & (na != nb) & ~hopeless
-    # Only open cases carry their texts to Python.
-    asked = near(F.when(open_case, na), F.when(open_case, nb))
-    return F.when((na == "") | (nb == ""), False).when(na == nb, True).otherwise(asked)
+    return near
 
 
 def _codes(text: str) -> np.ndarray:
@@ -93,7 +122,7 @@ def _may_share(a: np.ndarray, b: np.ndarray, needed: float) -> bool:
 class _Comparer:
     """Compares texts of one task, remembering outcomes of recent pairs.
 
-    Letter counts and then common subsequences bound the ratio from above, so few texts that are no
+    Letter counts, shared chunks and then common subsequences bound the ratio from above, so few texts that are no
     near-duplicates are matched block by block.
     """
 
@@ -101,10 +130,45 @@ class _Comparer:
         self.threshold = threshold
         self.outcome = lru_cache(maxsize=REMEMBERED_PAIRS)(self._compare)
         self.texts: dict[bytes, str] = {}
+        self.parts: dict[tuple, object] = {}
+
+    def _remembered(self, key: tuple, make):
+        if key not in self.parts:
+            self.parts[key] = make()
+        return self.parts[key]
+
+    def _shares_chunks(self, candidate: bytes, kept: bytes, needed: float) -> bool:
+        """Whether enough chunks of the second text occur in the first.
+
+        The second text is cut into chunks of ``size`` letters.  A block of ``n`` letters holds at least
+        ``(n + 2 - 2 * size) / size`` of them whole, and there are at most ``most_blocks``; so ``needed`` letters in blocks
+        have that many chunks together, and each occurs in the first text.
+        """
+        a, b = self.texts[candidate], self.texts[kept]
+        if len(b) < AUTOJUNK_CHARS:
+            return True
+        blocks = self._remembered((kept, "anchors"), lambda: count_anchors(b)) + 1
+        size = 1 + int(CHUNK_SHARE * len(b) / blocks)
+        wanted = (needed - 2.0 * (size - 1) * blocks) / size
+        if size < 3 or wanted <= 0:
+            return True
+        chunks = self._remembered(
+            (kept, "chunks"), lambda: [b[i : i + size] for i in range(0, len(b) - size + 1, size)]
+        )
+        there = self._remembered(
+            (candidate, size), lambda: {a[i : i + size] for i in range(len(a) - size + 1)}
+        )
+        return sum(map(there.__contains__, chunks)) >= wanted
 
     def _compare(self, candidate: bytes, kept: bytes) -> bool:
         a, b = self.texts[candidate], self.texts[kept]
         needed = self.threshold * (len(a) + len(b)) / 2.0 - 1e-6
+        if a.startswith(b) or b.startswith(a):
+            # The first match is the earliest of the longest, which then lies at the same place in both
+            # texts, and so grows to all of the shorter one.
+            return 2.0 * min(len(a), len(b)) / (len(a) + len(b)) >= self.threshold
+        if not self._shares_chunks(candidate, kept, needed):
+            return False
         if not _may_share(_codes(a), _codes(b), needed):
             return False
         return SequenceMatcher(None, a, b).ratio() >= self.threshold
@@ -118,7 +182,7 @@ class _Comparer:
         if 2.0 * np.minimum(*letters).sum() < self.threshold * (len(a) + len(b)) - 1e-6:
             return False
         keys = [md5(c, usedforsecurity=False).digest() for c in codes]
-        self.texts = dict(zip(keys, (a, b)))
+        self.texts, self.parts = dict(zip(keys, (a, b))), {}
         return self.outcome(*keys)
 
     def repeats(self, texts: Iterable[str]) -> list[list[int]]:
@@ -127,7 +191,7 @@ class _Comparer:
         codes = [_codes(t) for t in texts]
         letters = np.stack([np.bincount(c, minlength=128)[:128] for c in codes])
         keys = [md5(c, usedforsecurity=False).digest() for c in codes]
-        self.texts = dict(zip(keys, texts))
+        self.texts, self.parts = dict(zip(keys, texts)), {}
         shared = np.minimum(letters[:, None, :], letters[None, :, :]).sum(2)
         total = letters.sum(1)[:, None] + letters.sum(1)[None, :]
         within_reach = 2.0 * shared >= self.threshold * total - 1e-6
