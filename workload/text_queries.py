@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom import fixed_values as fixed
 from caseloom.functions import display, render, sections, similarity, text
+from caseloom.operators import similarity_join
 from caseloom.operators.retrieval import retrieved_incidents
 from workload import sql as S
 from workload import views as V
@@ -122,6 +123,25 @@ def is_near_duplicate(spark, sf_dir):
     return _document_pairs(spark, sf_dir).select("doc_id", "before_id", same.alias("near_duplicate"))
 
 
+@query("c8_similar_documents")
+def similar_documents(spark, sf_dir):
+    """All documents against all: every document with the smallest one of its text, and that text's near ones."""
+    members, pairs = similarity_join.similar_pairs(V.documents(spark, sf_dir))
+    both = pairs.unionAll(pairs.select(F.col("earlier").alias("later"), F.col("later").alias("earlier")))
+    links = both.groupBy(F.col("later").alias("class_id")).agg(F.count(F.lit(1)).alias("links"))
+    return members.join(links, "class_id", "left").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+@query(
+    "c8_equal_documents",
+    f"""SELECT doc_id, min(doc_id) OVER (PARTITION BY plain) AS class_id
+FROM (SELECT doc_id, {S.norm("text")} AS plain FROM documents) WHERE plain <> ''""",
+)
+def equal_documents(spark, sf_dir):
+    """The classes of equal texts that the join starts from."""
+    return similarity_join.text_classes(V.documents(spark, sf_dir), "doc_id", "text")[0]
+
+
 @query(
     "c7_text_similarity_bounds",
     f"""SELECT doc_id, before_id, plain = before AS is_one, true AS within_lengths,
