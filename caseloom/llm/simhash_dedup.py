@@ -6,13 +6,13 @@ the XXH64 hashes of all word shingles vote on each of 64 bits.
 Links at ``radius`` or fewer differing bits:
 
 1. *Shards.*  Random 64-bit fingerprints lie 32 +- 4 bits apart, so a ball of radius 4 overlaps both
-   sides of almost every cut that a vantage point can make: 66 % of the points fall in the band around
-   the median, and a tree with 256 leaves would send each query to 60 of them.  The whole set is therefore first
-   partitioned in projected Hamming spaces: of ``blocks`` bit blocks, two fingerprints within
-   ``radius`` bits agree on at least ``blocks - radius``, so every such choice of blocks is one partition
-   and each close pair shares a shard in one of them.  More blocks make finer shards for larger sets.
+   sides of almost every cut that a vantage point can make, and one tree over all would send each query to most of its
+   leaves.  The set is therefore first partitioned in projected Hamming spaces: of ``radius + 1`` blocks of bits, two
+   fingerprints within ``radius`` bits agree on at least one, so the first bits of each block are one partition, and
+   each close pair shares a shard in one of them.  As many bits are taken as give shards of ``SHARD_ROWS``; where
+   a block has too few, there are more blocks, of which close pairs agree on several.
 2. *Vantage-point trees.*  Inside a shard the full 64-bit metric rules: points are split at the median
-   distance from a vantage point, both halves are searched on their own, and across the boundary only
+   distance from a vantage point down to ``LEAF`` points, both halves are searched on their own, and across the boundary only
    points that the triangle inequality leaves (within ``radius`` of it) are compared.  Branches whose
    points are linked already are pruned, so a dense group costs no pairs.
 3. *Large shards* are cut into tiles; each pair of tiles is a shard of its own, so nothing is dropped
@@ -43,10 +43,10 @@ from caseloom.llm.registry import query
 
 SEED = 42
 RADIUS = 4
-# A shard's expected number of fingerprints decides how many blocks are cut; a tile holds at most so many.
-SHARD_ROWS = 256
+# A shard's expected number of fingerprints decides how many bits are cut by; a tile holds at most so many.
+SHARD_ROWS = 1 << 11
 TILE_ROWS = 1 << 12
-LEAF = 192
+LEAF = 32
 
 _BYTE = np.arange(8) * 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -97,18 +97,28 @@ def _block_ranges(blocks: int) -> list[tuple[int, int]]:
 def shard_masks(n: int, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> list[int]:
     """Bit masks of the projections: pairs within ``radius`` agree under at least one of them.
 
-    The fewest blocks whose shards hold ``shard_rows`` of ``n`` evenly spread fingerprints; any
-    number is exact, more blocks mean more copies of each fingerprint and smaller shards.
+    The fewest bits whose shards hold ``shard_rows`` of ``n`` evenly spread fingerprints; any number is
+    exact, and any part of a mask is a mask.
     """
+    bits = max(1, (max(n, 1) - 1).bit_length() - max(shard_rows, 1).bit_length() + 1)
     for blocks in range(radius + 1, radius + 6):
         ranges = _block_ranges(blocks)
         masks = [
             sum(((1 << (b - a)) - 1) << a for a, b in chosen)
             for chosen in combinations(ranges, blocks - radius)
         ]
-        if n <= shard_rows << min(m.bit_count() for m in masks):
+        if bits <= min(m.bit_count() for m in masks):
             break
-    return masks
+    return [_lowest_bits(m, bits) for m in masks]
+
+
+def _lowest_bits(mask: int, n: int) -> int:
+    kept = 0
+    while mask and n:
+        kept |= mask & -mask
+        mask &= mask - 1
+        n -= 1
+    return kept
 
 
 class _Links:
@@ -117,6 +127,7 @@ class _Links:
     def __init__(self, points: np.ndarray, radius: int):
         self.x, self.radius = points, radius
         self.group = np.arange(len(points))
+        self.splits, self.compared = 0, 0  # of branches, and pairs of points whose distance was taken
 
     def _merge(self, members: np.ndarray) -> None:
         groups = np.unique(self.group[members])
@@ -127,6 +138,7 @@ class _Links:
         return bool((self.group[a] == self.group[a[0]]).all())
 
     def _tile(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.compared += len(a) * len(b)
         near = np.bitwise_count(self.x[a][:, None] ^ self.x[b][None, :]) <= self.radius
         for i in np.flatnonzero(near.any(axis=1)):
             self._merge(np.append(b[near[i]], a[i]))
@@ -136,11 +148,14 @@ class _Links:
         if len(a) < 2 or self._one_group(a):
             return
         if len(a) <= LEAF:
+            self.compared += len(a) * (len(a) - 1) // 2
             near = np.bitwise_count(self.x[a][:, None] ^ self.x[a][None, :]) <= self.radius
             if np.count_nonzero(near) > len(a):
                 for i in np.flatnonzero(near.sum(axis=1) > 1):
                     self._merge(a[near[i]])
             return
+        self.splits += 1
+        self.compared += len(a) - 1
         d = np.bitwise_count(self.x[a] ^ self.x[a[0]])
         self._merge(a[d <= self.radius])
         cut = int(np.median(d))
@@ -162,6 +177,8 @@ class _Links:
             for i in range(0, len(a), step):
                 self._tile(a[i : i + step], b)
             return
+        self.splits += 1
+        self.compared += len(a) + len(b)
         at = self.x[a[0]] if len(a) >= len(b) else self.x[b[0]]
         da, db = np.bitwise_count(self.x[a] ^ at), np.bitwise_count(self.x[b] ^ at)
         cut, r = int(np.median(np.append(da, db))), self.radius

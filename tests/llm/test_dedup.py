@@ -185,3 +185,30 @@ def test_empty_tables(spark):
     assert exact.drop_exact_duplicates(none).columns == none.columns
     assert near.near_duplicate_groups(none).count() == 0
     assert near.drop_near_duplicates(none).count() == 0
+
+
+def test_links_come_through_trees():
+    """At production sizes every shard is split, the bound leaves pairs out, and planted pairs are found."""
+    rng = np.random.default_rng(5)
+    points = rng.integers(0, 2**64, 2000, dtype=np.uint64)
+    for i in range(0, 200, 2):
+        points[i + 1] = points[i] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, 4, replace=False)))
+    points = np.unique(points)
+    found = near._Links(points, 4)
+    found.within(np.arange(len(points)))
+    close = np.bitwise_count(points[:, None] ^ points[None, :]) <= 4
+    for i, j in zip(*np.nonzero(close)):
+        assert found.group[i] == found.group[j]
+    assert len(np.unique(found.group)) == len(points) - 100
+    assert found.splits > len(points) / near.LEAF / 2 and found.compared < len(points) ** 2 / 2
+
+
+@pytest.mark.parametrize("n", [0, 1, 3000, 50_000, 10**6, 10**8, 10**10])
+def test_masks_are_as_wide_as_the_set_needs(n):
+    masks = near.shard_masks(n)
+    bits = {m.bit_count() for m in masks}
+    assert len(bits) == 1 and n / 2 ** bits.pop() <= near.SHARD_ROWS
+    rng = random.Random(n)
+    for _ in range(300):  # any four bits leave one mask untouched
+        changed = sum(1 << b for b in rng.sample(range(64), 4))
+        assert any(not m & changed for m in masks)
