@@ -18,8 +18,18 @@ ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
 
 
+# Documents are long rows; Spark's 10,000 of them in a batch are what a Python worker's memory goes to.
+BATCH_ROWS = "1000"
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Give the Python workers of this application the package and the pipeline, once."""
+    """Give the Python workers of this application the package and the pipeline, once, and small batches.
+
+    A batch size that the session sets itself stays.
+    """
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     application = spark.sparkContext.applicationId
     if application in _shipped:
         return
