@@ -14,13 +14,19 @@ residue each round, through all residues; every partition trains a copy of the n
 and the copies' parameters are averaged by tokens seen, in a distributed aggregation of (parameter, sum,
 weight) rows.  The network has one size; the vocabulary grows with the corpus.
 
+Texts are split into words twice: to count them, and to write each document's ids to the shared folder.
+Training and scoring read those ids.
+
 Edge cases: null, empty and word-less texts have 0 tokens, score 0 and null mean and perplexity; repeated rows
-count as often as they stand; null ids are carried; an empty table trains nothing and gives no rows.
+count as often as they stand; null ids are carried; an empty table trains nothing and gives no rows.  Very long
+texts are scored in blocks of ``BLOCK`` tokens, their ids are four bytes a token.  Words of equal frequency are
+ranked by their bytes.  Extra columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import functools
 import zlib
 from collections import Counter
 
@@ -47,13 +53,14 @@ STEP = 1024
 BLOCK = 2048
 FLUSH = 100_000
 HELD = 1 << 17
+# Spellings of unknown words that a task remembers.
+SPELLED = 100_000
 # Shares from the table are multiples of this, so that their sums do not depend on the order.
 GRAIN = 2.0**-20
 # Symbols of a spelling: bytes of words and the start; weight of the shorter context; endings that a class may have.
 SYMBOLS = 36 + 128 + 1
 SHORTER = 8.0
 ENDINGS = (164 * 164 + 164) / TAILS
-SPELLED = 100_000
 
 _PLACES = [o for o in range(-REACH, REACH + 1) if o]
 _SHAPES = [(len(_PLACES), SIZE, DIM), (DIM,), (DIM, SIZE), (SIZE,)]
@@ -75,7 +82,7 @@ class Lexicon:
 
     def __init__(self, own: dict[bytes, int], counts: dict[bytes, int], gathered: dict[bytes, int]):
         self.ids = own | {w: SIZE + i for i, w in enumerate(counts)}
-        self.base = self.size = SIZE + len(counts)
+        self.base = SIZE + len(counts)
         self.classes = np.append(np.arange(SIZE), np.array([tail(w) for w in counts], np.int64))
         n, self.kinds, whole = np.array(list(counts.values()), float), np.zeros(SIZE), np.ones(SIZE)
         self.endings, self.seen = {}, [Counter() for _ in range(4)]
@@ -93,7 +100,6 @@ class Lexicon:
                 last[key[1:2]] += times
         self.left = -np.log(whole)
         self.inside = np.append(np.zeros(SIZE), np.log(n) + self.left[self.classes[SIZE:]])
-        self.spelled: dict[bytes, int] = {}
         self.logs: dict[bytes, float] = {}
 
     def _log(self, key: bytes) -> float:
@@ -113,24 +119,6 @@ class Lexicon:
             total += logs[key] if key in logs else self._log(key)
         return float(total)
 
-    def id(self, word: bytes) -> int:
-        """The id of a word that is not held, good until ``forget``; its log-probability is that of unknown ones."""
-        found = self.spelled.get(word)
-        if found is None:
-            if self.size == len(self.classes):
-                more = max(1024, self.size - self.base)
-                self.classes = np.append(self.classes, np.zeros(more, np.int64))
-                self.inside = np.append(self.inside, np.zeros(more))
-            found = self.spelled[word] = self.size
-            self.classes[found], self.inside[found] = tail(word), self.spelling(word)
-            self.size += 1
-        return found
-
-    def forget(self) -> None:
-        """Once many words have been spelled, all of their ids become free."""
-        if len(self.spelled) > SPELLED:
-            self.spelled, self.size = {}, self.base
-
 
 @dataclasses.dataclass
 class Network:
@@ -154,18 +142,20 @@ class Network:
             at += n
         return Network(self.words, *parts)
 
-    def ids(self, raw: bytes | None, rest: list[bytes] | None = None) -> np.ndarray:
+    def ids(self, raw: bytes | None, unknown: list[bytes] | None = None) -> np.ndarray:
         """Ids of a text's words between pads; those of their classes without a lexicon.
 
-        Words not held go into ``rest``, if given, and have the id of their class.
+        Words that the lexicon does not hold have the id of their class and go into ``unknown``, if given.
         """
-        known, other = (self.lexicon.ids, self.lexicon.id) if self.lexicon else (self.words, tail)
-        if rest is not None:
-            other = lambda w: rest.append(w) or tail(w)
-        found = [known[w] if w in known else other(w) for w in tokens(raw)]
-        out = np.full(len(found) + 2 * REACH, PAD, np.int64)
-        out[REACH : REACH + len(found)] = found
-        return out
+        known, missing = (self.lexicon.ids if self.lexicon else self.words), [] if unknown is None else unknown
+        words = tokens(raw)
+        found = list(map(known.get, words))
+        if None in found:
+            for i, at in enumerate(found):
+                if at is None:
+                    found[i] = tail(words[i])
+                    missing.append(words[i])
+        return padded(np.array(found, np.int64))
 
     def _classes(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self.lexicon.classes[ids[at]] if self.lexicon else ids[at]
@@ -211,6 +201,12 @@ class Network:
             value -= rate * slope / np.sqrt(power + 1e-12)
 
 
+def padded(found: np.ndarray) -> np.ndarray:
+    out = np.full(len(found) + 2 * REACH, PAD, np.int64)
+    out[REACH : REACH + len(found)] = found
+    return out
+
+
 def fresh(words: list[bytes], seed: int = 11) -> Network:
     rng = np.random.default_rng(seed)
     parts = [
@@ -230,6 +226,11 @@ def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def train_on(network: Network, texts, round_no: int) -> int:
     """Train in place on the masked tokens of an iterable of texts; how many there were."""
+    return train_on_ids(network, map(network.ids, texts), round_no)
+
+
+def train_on_ids(network: Network, texts, round_no: int) -> int:
+    """As ``train_on``, for texts that are class ids between pads."""
     seen, held, held_tokens = 0, [], 0
 
     def learn():
@@ -240,8 +241,7 @@ def train_on(network: Network, texts, round_no: int) -> int:
             network.step(ids, at[a : a + STEP], RATES[min(round_no, len(RATES) - 1)])
         seen += len(at)
 
-    for raw in texts:
-        found = network.ids(raw)
+    for found in texts:
         if len(found) > 2 * REACH:
             held.append(found)
             held_tokens += len(found)
@@ -325,16 +325,61 @@ def lexicon(counted: DataFrame, own: dict[bytes, int], held: int = HELD) -> tupl
     return found, keep(rest.mapInArrow(share, "word binary, inside double"), "lm-rest")
 
 
-def fit(df: DataFrame, text: str = "text", rounds: int = ROUNDS, held: int = HELD) -> Network:
-    """Train on all texts of ``df``, every token hidden once in ``EVERY`` rounds."""
+def vocabulary(df: DataFrame, text: str = "text", held: int = HELD) -> Network:
+    """A fresh network with the lexicon of all texts."""
     counted = word_counts(df, text)
     network = fresh(frequent_words(counted))
+    network.lexicon, network.rest = lexicon(counted, network.words, held)
+    return network
+
+
+def encode(df: DataFrame, network: Network, text: str = "text", key: str | None = None) -> DataFrame:
+    """``row, key, ids, spelled, rest`` of every row of ``df``; kept.
+
+    ``ids`` are four bytes a word.  Words that the network does not hold have the id of their class there; they stand in
+    ``rest`` where a table has their shares, else ``spelled`` is the sum of their log-probabilities by spelling.
+    """
+    complete = network.rest is None
+    shared = df.sparkSession.sparkContext.broadcast(dataclasses.replace(network, rest=None))
+    name = F.lit(None).cast("long") if key is None else F.col(key)
+    numbered = df.select(F.monotonically_increasing_id().alias("row"), name.alias("key"), F.col(text).alias("text"))
+    schema = T.StructType(
+        [*numbered.schema.fields[:2], T.StructField("ids", T.BinaryType()), T.StructField("spelled", T.DoubleType()),
+         T.StructField("rest", T.ArrayType(T.BinaryType()))]
+    )
+
+    def run(batches):
+        network = shared.value
+        spelling = functools.lru_cache(SPELLED)(network.lexicon.spelling)
+        for batch in batches:
+            ids, spelled, rest = [], [], []
+            for raw in text_bytes(batch.column(2)):
+                unknown: list[bytes] = []
+                ids.append(network.ids(raw, unknown)[REACH:-REACH].astype("<i4").tobytes())
+                spelled.append(sum(map(spelling, unknown), 0.0) if complete else 0.0)
+                rest.append(None if complete else unknown)
+            arrays = [*batch.columns[:2], pa.array(ids, pa.binary()), pa.array(spelled), pa.array(rest, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
+
+    return keep(numbered.mapInArrow(run, schema), "lm-ids")
+
+
+def id_arrays(column: pa.Array):
+    return (np.frombuffer(raw, "<i4") for raw in text_bytes(column))
+
+
+def train(encoded: DataFrame, network: Network, rounds: int = ROUNDS) -> Network:
+    """``network`` trained on all rows of ``encoded``, every token hidden once in ``EVERY`` rounds."""
+    context = encoded.sparkSession.sparkContext
+    classes = context.broadcast(network.lexicon.classes)
+    trained = dataclasses.replace(network, lexicon=None, rest=None)
     for round_no in range(rounds):
-        shared = df.sparkSession.sparkContext.broadcast(network)
+        shared = context.broadcast(trained)
 
         def run(batches, shared=shared, round_no=round_no):
-            own = shared.value.with_parameters(shared.value.flat().copy())
-            seen = train_on(own, (raw for batch in batches for raw in text_bytes(batch.column(0))), round_no)
+            own, kinds = shared.value.with_parameters(shared.value.flat().copy()), classes.value
+            texts = (padded(kinds[found]) for batch in batches for found in id_arrays(batch.column(0)))
+            seen = train_on_ids(own, texts, round_no)
             if seen:
                 flat = own.flat().astype(np.float64)
                 yield pa.RecordBatch.from_arrays(
@@ -342,32 +387,47 @@ def fit(df: DataFrame, text: str = "text", rounds: int = ROUNDS, held: int = HEL
                     names=["i", "total", "weight"],
                 )
 
-        copies = df.select(text).mapInArrow(run, "i long, total double, weight double")
+        copies = encoded.select("ids").mapInArrow(run, "i long, total double, weight double")
         mean = copies.groupBy("i").agg((F.sum("total") / F.sum("weight")).alias("value")).collect()
         if not mean:
             break
         flat = np.zeros(len(mean))
         for row in mean:
             flat[row.i] = row.value
-        network = network.with_parameters(flat)
-    network.lexicon, network.rest = lexicon(counted, network.words, held)
-    return network
+        trained = trained.with_parameters(flat)
+    return dataclasses.replace(trained, lexicon=network.lexicon, rest=network.rest)
+
+
+def fit(df: DataFrame, text: str = "text", rounds: int = ROUNDS, held: int = HELD) -> Network:
+    """Train on all texts of ``df``, every token hidden once in ``EVERY`` rounds."""
+    network = vocabulary(df, text, held)
+    return train(encode(df, network, text), network, rounds)
 
 
 def score_documents(df: DataFrame, network: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: id, ``n_tokens``, ``log_likelihood``, its mean and the perplexity."""
-    rest = network.rest
-    shared = df.sparkSession.sparkContext.broadcast(dataclasses.replace(network, rest=None))
+    return score_encoded(encode(df, network, text, key), network, key)
+
+
+def fit_and_score(df: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, held: int = HELD) -> DataFrame:
+    """The scores of all rows of ``df`` under a network trained on them, encoded once for both."""
+    network = vocabulary(df, text, held)
+    encoded = encode(df, network, text, key)
+    return score_encoded(encoded, train(encoded, network, rounds), key)
+
+
+def score_encoded(encoded: DataFrame, network: Network, key: str) -> DataFrame:
+    slim = Lexicon.__new__(Lexicon)  # classes and shares are all that ids need
+    slim.classes, slim.inside = network.lexicon.classes, network.lexicon.inside
+    shared = encoded.sparkSession.sparkContext.broadcast(dataclasses.replace(network, words={}, lexicon=slim, rest=None))
     schema = T.StructType(
-        [T.StructField("row", T.LongType()), df.schema[key], T.StructField("n_tokens", T.LongType()),
-         T.StructField("log_likelihood", T.DoubleType())]
-        + [T.StructField("rest", T.ArrayType(T.BinaryType()))] * (rest is not None)
+        [*encoded.schema.fields[:2], T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType())]
     )
 
-    def run(batches, complete=rest is None):
+    def run(batches):
         network = shared.value
         for batch in batches:
-            sizes, sums, missing = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), []
+            sizes, sums = np.zeros(batch.num_rows, np.int64), batch.column(3).to_numpy().copy()
             held, held_rows, held_tokens = [], [], 0
 
             def score():
@@ -375,14 +435,10 @@ def score_documents(df: DataFrame, network: Network, key: str = "doc_id", text:
                 for a in range(0, len(at), BLOCK):
                     part = network.log_probabilities(ids, at[a : a + BLOCK])
                     np.add.at(sums, np.asarray(held_rows)[owner[a : a + BLOCK]], part)
-                if network.lexicon:
-                    network.lexicon.forget()
-
-            for i, raw in enumerate(text_bytes(batch.column(2))):
-                missing.append(None if complete else [])
-                found = network.ids(raw, missing[-1])
-                sizes[i] = len(found) - 2 * REACH
-                held.append(found)
+
+            for i, found in enumerate(id_arrays(batch.column(2))):
+                sizes[i] = len(found)
+                held.append(padded(found))
                 held_rows.append(i)
                 held_tokens += len(found)
                 if held_tokens >= 8 * BLOCK:
@@ -390,28 +446,25 @@ def score_documents(df: DataFrame, network: Network, key: str = "doc_id", text:
                     held, held_rows, held_tokens = [], [], 0
             if held:
                 score()
-            arrays = [batch.column(0), batch.column(1), pa.array(sizes), pa.array(sums)]
-            if not complete:
-                arrays.append(pa.array(missing, pa.list_(pa.binary())))
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes), pa.array(sums)], names=schema.fieldNames())
 
-    numbered = df.select(F.monotonically_increasing_id().alias("row"), key, text)
-    scored = numbered.mapInArrow(run, schema)
-    if rest is not None:
-        scored = _with_rest(keep(scored, "lm-scored"), rest, shared)
+    scored = encoded.select("row", "key", "ids", "spelled").mapInArrow(run, schema)
+    if network.rest is not None:
+        scored = _with_rest(scored, encoded, network)
     mean = F.col("log_likelihood") / F.nullif(F.col("n_tokens"), F.lit(0))
     return (
-        scored.select(key, "n_tokens", "log_likelihood")
+        scored.select(F.col("key").alias(key), "n_tokens", "log_likelihood")
         .withColumn("mean_log_likelihood", mean)
         .withColumn("perplexity", F.exp(-F.col("mean_log_likelihood")))
     )
 
 
-def _with_rest(scored: DataFrame, rest: DataFrame, shared) -> DataFrame:
+def _with_rest(scored: DataFrame, encoded: DataFrame, network: Network) -> DataFrame:
     """``scored`` with the shares of its words that are not held: from the table, else by their spelling."""
+    shared = encoded.sparkSession.sparkContext.broadcast(network.lexicon)
 
     def spell(batches):
-        lexicon = shared.value.lexicon
+        lexicon = shared.value
         for batch in batches:
             inside = batch.column(1)
             if inside.null_count:
@@ -422,16 +475,16 @@ def _with_rest(scored: DataFrame, rest: DataFrame, shared) -> DataFrame:
                 inside = pa.array(values, pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), inside], names=["row", "inside"])
 
-    words = scored.select("row", F.explode("rest").alias("word")).join(rest, "word", "left")
+    words = encoded.select("row", F.explode("rest").alias("word")).join(network.rest, "word", "left")
     unknown = F.when(F.col("inside").isNull(), F.col("word"))
     shares = words.select("row", "inside", unknown.alias("word")).mapInArrow(spell, "row long, inside double")
     totals = shares.groupBy("row").agg(F.sum("inside").alias("inside"))
     total = F.col("log_likelihood") + F.coalesce("inside", F.lit(0.0))
-    return scored.drop("rest").join(totals, "row", "left").withColumn("log_likelihood", total)
+    return scored.join(totals, "row", "left").withColumn("log_likelihood", total)
 
 
 @query("op5_lm_score")
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-likelihood of every row of ``documents`` under a network trained on all of them."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_documents(docs, fit(docs))
+    return fit_and_score(docs)

@@ -1,6 +1,7 @@
 """Packing, token counts, benchmark search, language, toxicity and LM scoring against plain Python."""
 
 import itertools
+import math
 import random
 import re
 import zlib
@@ -340,6 +341,46 @@ def test_network_slopes_are_right():
     assert np.isclose(sum(full), 1, atol=1e-4)
 
 
+def plain_log_probability(net, ids, i):
+    """Of token ``i`` given its neighbours, one number at a time."""
+    hidden = [float(b) for b in net.hidden]
+    for table, place in zip(net.inputs, (-2, -1, 1, 2)):
+        hidden = [h + float(x) for h, x in zip(hidden, table[ids[i + place]])]
+    hidden = [math.tanh(h) for h in hidden]
+    scores = [float(b) + sum(h * float(net.outputs[d][c]) for d, h in enumerate(hidden)) for c, b in enumerate(net.bias)]
+    return scores[ids[i]] - math.log(sum(math.exp(x) for x in scores))
+
+
+def test_network_against_plain_numbers_and_numeric_slopes():
+    rng = np.random.default_rng(5)
+    net = lm_score.fresh([b"a", b"b"])
+    ids = np.concatenate([[lm_score.PAD] * 2, rng.integers(0, 9, 12), [lm_score.PAD] * 2])
+    at = np.arange(2, 14)
+    loss = lambda n: -sum(plain_log_probability(n, ids, i) for i in at) / len(at)
+    assert np.isclose(-net.log_probabilities(ids, at).mean(), loss(net), atol=1e-5)
+    before = net.with_parameters(net.flat().copy())
+    net.step(ids, at, 1e-3)
+    parts = [(b, a, p) for b, a, p in zip(*[[n.inputs, n.hidden, n.outputs, n.bias] for n in (before, net)], net.powers)]
+    for old, new, power in parts:
+        slopes = -np.sign(new - old) * np.sqrt(power)
+        largest = np.argsort(-power.ravel())[:3]
+        for place in [*largest, int(rng.integers(power.size))]:
+            found, kept = [], old.flat[place]
+            for shift in (1e-2, -1e-2):
+                old.flat[place] = kept + shift
+                found.append(loss(before))
+            old.flat[place] = kept
+            assert np.isclose((found[0] - found[1]) / 2e-2, slopes.flat[place], atol=2e-4)
+
+
+def test_ids_are_written_once(spark):
+    """Scores of texts encoded once for training and scoring are those of two separate steps."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    once, twice = lm_score.fit_and_score(docs), lm_score.score_documents(docs, lm_score.fit(docs))
+    a, b = ({r.doc_id: (r.n_tokens, r.log_likelihood) for r in x.collect()} for x in (once, twice))
+    assert a.keys() == b.keys() and all(a[i][0] == b[i][0] and np.isclose(a[i][1], b[i][1], rtol=1e-3) for i in a)
+
+
 def test_trained_scores_beat_word_frequencies(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     net = lm_score.fit(docs)
