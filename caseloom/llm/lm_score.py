@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import dataclasses
 import functools
+import itertools
 import zlib
 from collections import Counter
 
@@ -50,8 +51,10 @@ EVERY = 2
 ROUNDS = EVERY
 RATES = (0.1, 0.05)
 STEP = 1024
-BLOCK = 2048
-FLUSH = 100_000
+BLOCK = 1024
+# No sum of exponentials overflows or vanishes in single precision while scores are within this.
+HIGHEST = 80.0
+FLUSH = 250_000
 HELD = 1 << 17
 # Spellings of unknown words that a task remembers.
 SPELLED = 100_000
@@ -149,53 +152,59 @@ class Network:
         """
         known, missing = (self.lexicon.ids if self.lexicon else self.words), [] if unknown is None else unknown
         words = tokens(raw)
-        found = list(map(known.get, words))
-        if None in found:
-            for i, at in enumerate(found):
-                if at is None:
-                    found[i] = tail(words[i])
-                    missing.append(words[i])
-        return padded(np.array(found, np.int64))
+        out = padded(np.fromiter(map(known.get, words, itertools.repeat(-1)), np.int64, len(words)))
+        for i in np.flatnonzero(out < 0).tolist():
+            word = words[i - REACH]
+            out[i] = tail(word)
+            missing.append(word)
+        return out
 
-    def _classes(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return self.lexicon.classes[ids[at]] if self.lexicon else ids[at]
+    def _classes(self, ids: np.ndarray) -> np.ndarray:
+        return self.lexicon.classes.take(ids) if self.lexicon else ids
 
     def _hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        total = self.hidden + self.inputs[0][self._classes(ids, at + _PLACES[0])]
+        total = self.hidden + self.inputs[0].take(self._classes(ids[at + _PLACES[0]]), axis=0)
         for table, place in zip(self.inputs[1:], _PLACES[1:]):
-            total += table[self._classes(ids, at + place)]
+            total += table.take(self._classes(ids[at + place]), axis=0)
         return np.tanh(total, out=total)
 
-    def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Of the tokens at the places ``at``, each given its neighbours."""
-        inside = self.lexicon.inside[ids[at]] if self.lexicon else 0.0
-        z = self._hidden(ids, at) @ self.outputs
+    def _softmax(self, hidden: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All classes' scores raised to e, their sums, and the log-probabilities of ``classes``.
+
+        Hidden values lie between -1 and 1, which bounds the scores; only where they could overflow, the highest is
+        taken off first.
+        """
+        z = hidden @ self.outputs
         z += self.bias
-        said = z[np.arange(len(at)), self._classes(ids, at)].astype(np.float64)
-        top = z.max(axis=1)
-        z -= top[:, None]
+        if (np.abs(self.outputs).sum(axis=0) + np.abs(self.bias)).max() > HIGHEST:
+            z -= z.max(axis=1, keepdims=True)
+        said = z[np.arange(len(z)), classes].astype(np.float64)
         np.exp(z, out=z)
-        return said - top - np.log(z.sum(axis=1)) + inside
+        sums = z @ np.ones(SIZE, np.float32)
+        return z, sums, said - np.log(sums.astype(np.float64))
+
+    def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of the tokens at the places ``at``, each given its neighbours."""
+        said = self._softmax(self._hidden(ids, at), self._classes(ids[at]))[2]
+        return said + self.lexicon.inside.take(ids[at]) if self.lexicon else said
 
     def step(self, ids: np.ndarray, at: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the masked tokens at ``at``, each parameter at its own pace (Adagrad)."""
         if self.powers is None:
             self.powers = [np.zeros_like(x) for x in (self.inputs, self.hidden, self.outputs, self.bias)]
+        n = len(at)
         h = self._hidden(ids, at)
-        z = h @ self.outputs + self.bias
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(at)), ids[at]] -= 1.0
-        z /= len(at)
+        z, sums, _ = self._softmax(h, ids[at])
+        z *= (1 / (sums * n))[:, None]
+        z[np.arange(n), ids[at]] -= 1 / n
         back = (z @ self.outputs.T) * (1 - h * h)
+        # a row of the flattened tables for each place of each token; equal rows are added up
+        near = np.concatenate([ids[at + place] + k * SIZE for k, place in enumerate(_PLACES)]).astype(np.int16)
+        order = np.argsort(near, kind="stable")
+        first = np.flatnonzero(np.diff(near[order], prepend=-1))
         grown = np.zeros_like(self.inputs)
-        for table, place in zip(grown, _PLACES):
-            near = ids[at + place]
-            order = np.argsort(near, kind="stable")
-            first = np.flatnonzero(np.diff(near[order], prepend=-1))
-            table[near[order][first]] = np.add.reduceat(back[order], first, axis=0)
-        slopes = (grown, back.sum(axis=0), h.T @ z, z.sum(axis=0))
+        grown.reshape(-1, DIM)[near[order][first]] = np.add.reduceat(back.take(order % n, axis=0), first, axis=0)
+        slopes = (grown, back.sum(axis=0), h.T @ z, np.ones(n, np.float32) @ z)
         for value, slope, power in zip((self.inputs, self.hidden, self.outputs, self.bias), slopes, self.powers):
             power += slope * slope
             value -= rate * slope / np.sqrt(power + 1e-12)
