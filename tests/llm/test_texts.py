@@ -1,5 +1,6 @@
 """Packing, token counts, benchmark search, language, toxicity and LM scoring against plain Python."""
 
+import collections
 import itertools
 import math
 import random
@@ -232,6 +233,65 @@ def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark):
     assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(repr(d) for d in docs if d[1] != bad)
 
 
+def slow_near(docs, items, window=13, slop=3):
+    """Items near some place of a document, but not in it, by the definition; word counts over item words in all documents."""
+    said = {i: [w for w in re.split(r"[^a-z0-9]+", t.lower()) if w] for i, t in items}
+    texts = {i: [w for w in re.split(r"[^a-z0-9]+", t.lower()) if w] for i, t in docs}
+    freq = collections.Counter(w for t in texts.values() for w in t)
+    out = {}
+    for i, text in texts.items():
+        places = collections.defaultdict(list)
+        for p, w in enumerate(text):
+            places[w].append(p)
+        near, exact = set(), set()
+        for item, words in said.items():
+            k = min(len(words), window)
+            for s in range(len(words) - k + 1):
+                win = words[s : s + k]
+                if any(text[p : p + k] == win for p in range(len(text) - k + 1)):
+                    exact.add(item)
+                trio = sorted((freq[w], j, w) for j, w in enumerate(win) if w in freq)[:3]
+                for _, j, w in trio if k > 1 else ():
+                    for d in (p - j for p in places[w]):
+                        met = sum(any(abs(p - d - x) <= slop for p in places[v]) for x, v in enumerate(win))
+                        if met >= k - k // window:
+                            near.add(item)
+        out[i] = len(near - exact)
+    return out
+
+
+def test_near_items_equal_brute_force(spark):
+    """One word replaced, unknown, left out or put in; two replaced are too many; shared windows name all their items."""
+    rng = random.Random(3)
+    words = [rng.choice("abcdefgh") + rng.choice("xyz") + str(rng.randrange(6)) for _ in range(400)]
+    passage = words[:13]
+    items = [(i, " ".join(words[i : i + 20])) for i in range(0, 120, 12)] + [(500 + i, " ".join(passage)) for i in range(4)]
+    items += [(600, "one two three"), (601, " ".join(passage[:6] + ["unheard"] + passage[7:])), (602, "solo")]
+    filler = lambda n: [rng.choice(words) for _ in range(n)]
+    variants = [passage, passage[:4] + ["new"] + passage[5:], passage[:4] + passage[5:], passage[:7] + ["in", "side"] + passage[7:]]
+    variants += [["p"] + passage[1:3] + ["q"] + passage[4:], words[24:30] + ["z9"] + words[31:44], ["one", "x", "two", "three"], ["one", "two"], ["solo"]]
+    docs = [(i, " ".join(filler(15) + v + filler(15))) for i, v in enumerate(variants)]
+    docs += [(100 + i, " ".join(filler(200))) for i in range(6)] + [(200, " ".join(passage * 20)), (201, "")]
+    table, wanted = (spark.createDataFrame(x, s) for x, s in ((docs, "doc_id long, text string"), (items, "item_id long, text string")))
+    got = {r.doc_id: r.n_near_items for r in decontaminate.contamination(table, wanted, near=True).collect()}
+    want = slow_near(docs, items)
+    assert got == want and sum(v > 0 for v in want.values()) >= 4
+
+
+def test_items_that_share_a_window_are_searched_once(spark):
+    """Postings grow with distinct windows, not with the items that have them."""
+    sentence = " ".join(f"w{i}" for i in range(13))
+    items = spark.createDataFrame([(i, sentence) for i in range(60)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"x{i} {sentence} y") for i in range(50)], "doc_id long, text string")
+    terms = decontaminate.item_terms(items, "item_id", "text")
+    index, windows = decontaminate.build_index(docs, terms), decontaminate.item_windows(terms)
+    leads = windows.filter("item = lead and start = lead_start").select("item", "start")
+    assert leads.count() == 1
+    ranked = decontaminate.ranked_words(terms, index, leads=leads)
+    assert decontaminate.rare_postings(index, decontaminate.rare_pairs(terms, index, ranked=ranked)).count() == 100
+    assert {tuple(r)[2:4] for r in decontaminate.contamination(docs, items).collect()} == {(13, 60)}
+
+
 def test_proximity_matches(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     docs = [(1, "alpha beta gamma"), (2, "alpha x beta gamma"), (3, "alpha " + "x " * 9 + "beta gamma"), (4, "gamma")]
