@@ -1,6 +1,7 @@
 """Rows must not depend on tile sizes, plans or gaps in the input."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,35 @@ def test_two_hundred_labels(spark):
     assert long == {(r.actual_priority, c): r[c] for r in matrix for c in r.asDict() if c != "actual_priority"}
     empty = metrics.confusion_counts(pairs.limit(0)).collect()
     assert len(empty) == 9 and all(r.n == 0 for r in empty)
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cosine"])
+def test_single_precision_loses_no_neighbour(metric):
+    """Rows that single precision cannot tell apart, far from the origin, and rows without a place."""
+    rng = np.random.default_rng(3)
+    docs = rng.normal(size=(3000, 8)) + 5.0
+    docs[500:900] = docs[5] + rng.normal(size=(400, 8)) * 1e-9
+    docs[7], docs[8], docs[9] = np.nan, np.inf, 0.0
+    queries = np.vstack([docs[:40], docs[500:540], np.zeros((1, 8))])
+    exact = retrieval._distances(np.repeat(queries, len(docs), 0), np.tile(docs, (len(queries), 1)), metric)
+    exact = exact.reshape(len(queries), -1)
+    q, d, distance = retrieval._best(queries, docs, 9, metric)
+    bounded = retrieval._best(queries, docs, 9, metric, np.full(len(queries), 0.01))
+    for i, row in enumerate(exact):
+        want = [j for j in np.lexsort((np.arange(len(row)), row)) if np.isfinite(row[j])][:9]
+        assert d[q == i].tolist() == want and distance[q == i].tolist() == row[want].tolist()
+        near = [j for j in want if row[j] <= 0.01]
+        assert bounded[1][bounded[0] == i].tolist()[: len(near)] == near
+
+
+def test_tiles_meet_in_few_groups(spark, monkeypatch):
+    """200 and 100 tiles would be 20,000 pairs of tiles; every task says which rows it was given."""
+    kb = spark.range(400).selectExpr("cast(id as string) doc_id", "array(double(id), double(id * id % 17)) embedding")
+    queries = spark.range(200).selectExpr("id query_id", "array(double(id), 1.0d) embedding")
+    schema = "query_id long, doc_id string, distance double, rank int"
+    monkeypatch.setattr(retrieval, "_tile_search", lambda *_: lambda q, d: pd.DataFrame(
+        {"query_id": [len(q)], "doc_id": [""], "distance": [float(len(d))], "rank": [1]}
+    ))
+    monkeypatch.setattr(retrieval, "_hit_schema", lambda _: schema)
+    met = retrieval._knn_tiles(queries, retrieval.prepare_index(kb, broadcast_bytes=0), 1000, "l2sq", 2)
+    assert met.count() <= 256
