@@ -76,3 +76,18 @@ def test_empty_sides_and_too_many_blocks(clustered, monkeypatch):
         mi.build_metric_index(kb, block_rows=10)
     tiles = retrieval.knn_topk(queries, kb, 4, broadcast_bytes=0)  # goes on with tiles
     assert rows(tiles) == rows(retrieval.knn_topk(queries, kb, 4))
+
+
+def test_evenly_spread_vectors_go_to_groups_once(spark, monkeypatch):
+    """Where no bound excludes a block, what a query carries does not grow with the number of blocks."""
+    monkeypatch.setattr(mi, "GROUP_ROWS", 200)
+    rng = np.random.default_rng(4)
+    docs, asked = rng.normal(size=(900, 48)), rng.normal(size=(30, 48))
+    kb = spark.createDataFrame([(f"d{i:03}", v.tolist()) for i, v in enumerate(docs)], "doc_id string, embedding array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, embedding array<double>")
+    index = mi.build_metric_index(kb, block_rows=10)
+    state = mi.search_state(queries, index, 4)
+    assert rows(mi.hits_of(state)) == rows(retrieval.knn_topk(queries, kb, 4))
+    seen = mi.visits_of(state, index).first()
+    assert seen.pairs_met > 0.5 * seen.pairs_in_all
+    assert state.agg(F.max(F.size("visited"))).first()[0] <= 20
