@@ -355,14 +355,18 @@ def _rest(planned: DataFrame, index: MetricIndex, k: int, kind: T.DataType) -> D
         start = queries["bound"].to_numpy()
         near, which = np.full((len(queries), k), np.inf), np.full((len(queries), k), len(docs), np.int64)
         met = np.zeros(len(queries), np.int64)
-        seen = [set(v) for v in queries["visited"]]
+        seen = [np.asarray(v, np.int64) for v in queries["visited"]]
         for matching, places in _fitting(queries, shells, match_on):
             matching = matching[[p in members for p in matching]]
             rows = max(1, PLAN_CELLS // max(1, 4 * len(matching), max((len(v) for v, _ in members.values()), default=1)))
             for i in range(0, len(places) if len(matching) else 0, rows):
                 some = places[i : i + rows]
                 _, low, nearest = _bounds_below(at[some], shells, matching, metric)
-                fresh = np.array([[n not in seen[j] for n in shells.number[matching]] for j in some])
+                fresh, numbers = np.ones(nearest.shape, bool), shells.number[matching]
+                been, who = np.concatenate([seen[j] for j in some]), np.repeat(np.arange(len(some)), [len(seen[j]) for j in some])
+                column = np.minimum(np.searchsorted(numbers, been), len(numbers) - 1)
+                here = numbers[column] == been
+                fresh[who[here], column[here]] = False
                 for m in np.argsort(low.mean(0), kind="stable"):
                     bounds = np.minimum(start[some], near[some, k - 1])
                     open_ones = some[fresh[:, m] & (nearest[:, m] <= _within(bounds))]
