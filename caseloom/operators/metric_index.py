@@ -40,8 +40,8 @@ MAX_PIVOTS = 1024
 BLOCK_ROWS = 1024
 MAX_BLOCKS = 1_000_000
 GROUP_QUERIES = 2048  # queries that meet a block in one task
-GROUP_ROWS = 1 << 16  # rows of neighbouring blocks that make a group
-GROUP_SHARE = 1 << 15  # queries that meet a group in one task
+GROUP_ROWS = 1 << 15  # rows of neighbouring blocks that make a group
+GROUP_SHARE = 1 << 14  # queries that meet a group in one task
 WIDTHS = (1, 8)  # blocks a query may visit in the first rounds
 PLAN_CELLS = 1 << 22  # bounds that are held at once while visits are planned
 MARGIN = 1e-6
