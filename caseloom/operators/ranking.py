@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from caseloom import fixed_values as fixed
 from caseloom.functions.similarity import near_duplicates
 from caseloom.functions.text import col_of, normalize_tag_list
+from caseloom.session import bounded_batches
 
 TEXTS = ("issue_description", "resolution", "retrieval_text")
 PAYLOAD = (
@@ -39,6 +40,7 @@ def candidates_per_query(
     Comparing texts costs far more than moving them, hence the fixed number of partitions, which
     adaptive execution does not merge by size.
     """
+    bounded_batches(incidents.sparkSession)
     partitions = int(incidents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fields = ["rank", "distance", *(c for c in PAYLOAD if with_texts or c not in TEXTS)]
     if threshold is not None:

@@ -19,6 +19,17 @@ TUNING = {
 }
 
 
+# Rows that go to Python can be long arrays of texts; a batch of them is bounded by its size, not by its rows.
+BATCH_BYTES = "8m"
+BATCH_BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Small Arrow batches for this session, instead of Spark's of 64 MB; a bound that the session sets itself stays."""
+    if spark.conf.get(BATCH_BYTES_SETTING, None) in (None, "67108864b", "64MB"):
+        spark.conf.set(BATCH_BYTES_SETTING, BATCH_BYTES)
+
+
 _local_folders: dict[str, str] = {}
 
 

@@ -184,3 +184,24 @@ def test_display(spark):
         ("HIGH", "LOW"), ("HIGH", "LOW"), ("HIGH", "HIGH"), ("MEDIUM", "MEDIUM"), ("LOW", "LOW"),
     ]
     assert spark.range(1).select(display.confidence_percent(F.lit(0.705))).first()[0] in ("71%", "70%")
+
+
+def test_comparing_long_texts_takes_little_memory():
+    """The chunks of nine long texts: all substrings of each, for several lengths, would take gigabytes."""
+    import random
+    import tracemalloc
+
+    from caseloom.functions.similarity import _Comparer
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("etaoinshrdlucmfwypvbgkjqxz", weights=range(40, 14, -1), k=6)) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, k=4000)) + " 0123456789" * i for i in range(9)]
+    texts.append(texts[0][:-20] + " and more")
+    comparer = _Comparer(0.88)
+    comparer.repeats(["once", "twice"])
+    tracemalloc.start()
+    repeats = comparer.repeats(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert repeats[0] == [10] and repeats[9] == [1] and not any(repeats[1:9])
+    assert peak < 300 * sum(map(len, texts))  # substrings took 10,000 bytes a letter
