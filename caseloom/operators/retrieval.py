@@ -394,11 +394,15 @@ def matching_incidents(tickets: DataFrame, kb: DataFrame, match_on: Sequence[str
     return found.select(*tickets.columns, F.coalesce("incidents", F.lit(0)).alias("incidents"))
 
 
-def retrieved_incidents(hits: DataFrame, kb: DataFrame) -> DataFrame:
+def retrieved_incidents(hits: DataFrame, kb: DataFrame, digests: bool = False) -> DataFrame:
     """Hits with their knowledge-base fields, missing ones as empty text.
 
-    ``normalized`` is the text near-duplicates are judged by, computed once per knowledge-base row.
+    ``normalized`` is the text near-duplicates are judged by, computed once per knowledge-base row.  With
+    ``digests`` it is that text's digest, empty for an empty text: enough where only equal texts repeat each other.
     """
+    plain = normalize_text("issue_description")
+    if digests:
+        plain = F.when(plain == "", "").otherwise(F.sha2(plain, 256))
     text = ("issue_description", "resolution", "type", "queue", "priority")
     named = kb.withColumn("doc_id", F.col("doc_id").cast("string"))
     # Only what was found is normalised and moved.
@@ -408,7 +412,7 @@ def retrieved_incidents(hits: DataFrame, kb: DataFrame) -> DataFrame:
         *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in text],
         F.coalesce(F.col("tags"), F.array().cast("array<string>")).alias("tags"),
         "retrieval_text",
-        normalize_text("issue_description").alias("normalized"),
+        plain.alias("normalized"),
     )
     return hits.join(fields, "doc_id", "left").select(
         "query_id", "rank", "doc_id", "distance", *text, "tags", "retrieval_text", "normalized"

@@ -245,3 +245,21 @@ def test_serialized_defaults(spark):
         "resolution: string, rank: int, retrieval_text: string>")).alias("s"))
     s = df.first().s
     assert (s.distance, s.adjusted_score, s.tags) == (0.0, 0.0, [])
+
+
+def test_digests_stand_for_equal_texts(spark):
+    """Where only equal texts repeat each other, no text travels; empty and missing texts repeat nobody."""
+    from caseloom.operators.retrieval import retrieved_incidents
+
+    said = ["One thing " * 40, "one  THING " * 40, "...", "!", None, "another"]
+    kb = spark.createDataFrame(
+        [(f"d{i}", t, "r", "INCIDENT", "Q", "HIGH", ["x"], t) for i, t in enumerate(said)], KB_KINDS
+    )
+    hits = spark.createDataFrame(
+        [(1, f"d{i}", i / 10.0, i + 1) for i in range(len(said) + 2)],
+        "query_id long, doc_id string, distance double, rank int",
+    )
+    found = {d: retrieved_incidents(hits, kb, digests=d) for d in (False, True)}
+    assert found[True].agg(F.max(F.length("normalized"))).first()[0] == 64
+    plain, short = (ranking.candidates_per_query(f, 1.0, with_texts=False).first() for f in found.values())
+    assert plain == short and short.repeats == [[2], [1], [], [], [], [], [], []]

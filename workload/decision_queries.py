@@ -38,7 +38,8 @@ def candidates(spark, sf_dir, threshold=NEAR):
 def light_candidates(spark, sf_dir, threshold=EQUAL):
     """Candidates for the jobs that return no incident text."""
     hits = V.hits(spark, sf_dir, retrieval.overfetch_k())
-    found = retrieval.retrieved_incidents(hits, V.knowledge_base(spark, sf_dir))
+    equal_only = threshold is not None and threshold >= EQUAL
+    found = retrieval.retrieved_incidents(hits, V.knowledge_base(spark, sf_dir), digests=equal_only)
     return ranking.candidates_per_query(found, threshold, with_texts=False)
 
 
