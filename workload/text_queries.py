@@ -114,7 +114,10 @@ def _document_pairs(spark, sf_dir):
     paired = docs.withColumns(
         {"before_id": F.lag("doc_id").over(beginning), "before": F.lag("text").over(beginning)}
     )
-    return paired.filter(F.col("before_id").isNotNull())
+    # Many texts may begin alike, so pairs are dealt out anew before they are compared, to a number of tasks that
+    # adaptive execution does not merge by bytes: a pair costs far more time than its bytes say.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return paired.filter(F.col("before_id").isNotNull()).repartition(tasks, "doc_id", "before_id")
 
 
 @query("c8_is_near_duplicate")
