@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.operators.retrieval import METRICS, _best, _matrix
+from caseloom.operators.retrieval import METRICS, _best, _Copies, _first_equal, _improve, _matrix, _merged, _Points
 from caseloom.session import written
 
 MAX_PIVOTS = 1024
@@ -285,9 +285,10 @@ def _visited(visits: DataFrame, index: MetricIndex, k: int, kind: T.DataType) ->
             return pd.DataFrame({c: [] for c in schema.fieldNames()})
         docs = docs.sort_values("doc_id", kind="stable")
         bound = queries["bound"].to_numpy()
-        vectors, place = _first_copies(_matrix(docs["embedding"]), k)
-        q, d, distance = _best(_matrix(queries["embedding"]), vectors, k, metric, bound)
-        d = place[d]
+        vectors = _matrix(docs["embedding"])
+        copies = _Copies(_first_equal(vectors))
+        q, d, distance = _best(_matrix(queries["embedding"]), vectors[copies.first], k, metric, bound)
+        q, d, distance, _ = _merged([copies.rows(q, d, distance, k)], k)
         near = distance <= queries["bound"].to_numpy()[q]
         return pd.DataFrame(
             {
@@ -303,25 +304,6 @@ def _visited(visits: DataFrame, index: MetricIndex, k: int, kind: T.DataType) ->
     return left.cogroup(right).applyInPandas(search, schema)
 
 
-def _first_copies(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of which no more than ``k`` are equal, the first ones, and their places: no result has more of them."""
-    copies = pd.Series([v.tobytes() for v in vectors])
-    place = np.flatnonzero(copies.groupby(copies).cumcount().to_numpy() < k)
-    return vectors[place], place
-
-
-def _improve(near: np.ndarray, which: np.ndarray, q: np.ndarray, d: np.ndarray, distance: np.ndarray) -> None:
-    """Merge new pairs into the nearest docs of each query, in place."""
-    k, touched = near.shape[1], np.unique(q)
-    owner = np.concatenate([np.repeat(touched, k), q])
-    doc, far = np.concatenate([which[touched].ravel(), d]), np.concatenate([near[touched].ravel(), distance])
-    order = np.lexsort((doc, far, owner))
-    owner, doc, far = owner[order], doc[order], far[order]
-    rank = np.arange(len(owner)) - np.searchsorted(owner, owner, side="left")
-    kept = rank < k
-    near[owner[kept], rank[kept]], which[owner[kept], rank[kept]] = far[kept], doc[kept]
-
-
 def _rest(planned: DataFrame, index: MetricIndex, k: int, kind: T.DataType) -> DataFrame:
     """Rows of all blocks that may still matter, by groups: ``query_id, distance, doc_id``, and how many blocks were ``met``."""
     shared, metric, match_on, spark = index.shells, index.metric, index.match_on, planned.sparkSession
@@ -348,17 +330,18 @@ def _rest(planned: DataFrame, index: MetricIndex, k: int, kind: T.DataType) -> D
         members = {}
         for place in np.flatnonzero(np.isin(shells.number, of)):
             rows = np.flatnonzero(of == shells.number[place])
-            some, first = _first_copies(vectors[rows], k)
-            members[place] = some, rows[first]
+            copies = _Copies(_first_equal(vectors[rows]))
+            members[place] = _Points(vectors[rows[copies.first]], metric), copies, rows
         asked = _matrix(queries["embedding"])
         at, _ = _points(asked, metric)
+        asked = _Points(asked, metric)
         start = queries["bound"].to_numpy()
         near, which = np.full((len(queries), k), np.inf), np.full((len(queries), k), len(docs), np.int64)
         met = np.zeros(len(queries), np.int64)
         seen = [np.asarray(v, np.int64) for v in queries["visited"]]
         for matching, places in _fitting(queries, shells, match_on):
             matching = matching[[p in members for p in matching]]
-            rows = max(1, PLAN_CELLS // max(1, 4 * len(matching), max((len(v) for v, _ in members.values()), default=1)))
+            rows = max(1, PLAN_CELLS // max(1, 4 * len(matching), max((len(v) for v, _, _ in members.values()), default=1)))
             for i in range(0, len(places) if len(matching) else 0, rows):
                 some = places[i : i + rows]
                 _, low, nearest = _bounds_below(at[some], shells, matching, metric)
@@ -373,9 +356,10 @@ def _rest(planned: DataFrame, index: MetricIndex, k: int, kind: T.DataType) -> D
                     if not len(open_ones):
                         continue
                     met[open_ones] += 1
-                    block, rows_of = members[matching[m]]
-                    q, d, distance = _best(asked[open_ones], block, k, metric, np.minimum(start, near[:, k - 1])[open_ones])
+                    block, copies, rows_of = members[matching[m]]
+                    q, d, distance = _best(asked.take(open_ones), block, k, metric, np.minimum(start, near[:, k - 1])[open_ones])
                     if len(q):
+                        q, d, distance = copies.rows(q, d, distance, k)
                         _improve(near, which, open_ones[q], rows_of[d], distance)
         q, rank = np.nonzero(np.isfinite(near) & (near <= start[:, None]))
         ids = queries["query_id"].to_numpy()

@@ -33,11 +33,13 @@ from pyspark.sql import types as T
 
 from caseloom import fixed_values as fixed
 from caseloom.functions.text import normalize_text
+from caseloom.session import written
 
 BROADCAST_BYTES = 256 * 1024 * 1024
 TILE_BYTES = 128 * 1024 * 1024
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 2048
 QUERY_ROWS = 1024
+PRODUCT_ROWS = 256  # queries whose products with a block are held at once
 GROUPS = 256  # groups of docs whose least distances give a first bound
 PAIRS = 1 << 16  # exact distances taken at once
 TILE_GROUPS = 16  # groups that the tiles of a side are put in, more only where one would exceed
@@ -61,6 +63,7 @@ class _Tile:
         rows = rows.sort_values("doc_id", kind="stable")
         self.doc_ids = rows["doc_id"].to_numpy(dtype=object)
         self.vectors = _matrix(rows["embedding"])
+        self.first_equal = _first_equal(self.vectors)
         self.keys = {c: rows[c].to_numpy(dtype=object) for c in match_on}
 
     def matching(self, wanted: dict[str, object]) -> np.ndarray:
@@ -87,49 +90,81 @@ def _distances(queries: np.ndarray, docs: np.ndarray, metric: str) -> np.ndarray
         return 1.0 - total / (np.sqrt(q_norm) * np.sqrt(d_norm))
 
 
+class _Points:
+    """Vectors as one side of products in single precision: their lengths, and which of them have a place."""
+
+    def __init__(self, vectors: np.ndarray, metric: str):
+        self.vectors, self.rows = vectors, np.arange(len(vectors))
+        with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+            size = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+            self.there = np.isfinite(size) & ((size > 0) if metric == "cosine" else True)
+            self.size = np.where(self.there, size, 0.0)
+            single = vectors / size[:, None] if metric == "cosine" else vectors
+            self.single = np.where(self.there[:, None], single, 0.0).astype(np.float32)
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def take(self, rows: np.ndarray) -> _Points:
+        some = object.__new__(_Points)
+        some.vectors, some.rows = self.vectors, self.rows[rows]
+        some.there, some.size, some.single = self.there[rows], self.size[rows], self.single[rows]
+        return some
+
+
 def _few_pairs(
-    queries: np.ndarray, docs: np.ndarray, k: int, metric: str, bound: np.ndarray | None
+    queries: _Points, docs: _Points, k: int, metric: str, bound: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray] | None:
     """Pairs among which are the ``k`` nearest docs of each query, by a product in single precision.
 
-    The ``k``-th of the least distances of ``GROUPS`` groups of docs is no less than the ``k``-th distance of all, so
-    no row of products is ever sorted.  None where single precision would leave too many pairs.
+    A query with a bound looks no farther.  For others the ``k``-th of the least distances of ``GROUPS`` groups of docs is
+    no less than the ``k``-th distance of all, so no row of products is ever sorted.  Products are taken for a few
+    queries at a time, so that they are looked at while the processor's cache has them.  None where single precision
+    would leave too many pairs.
     """
-    with np.errstate(invalid="ignore", over="ignore"):
-        q_size, d_size = np.sqrt((queries**2).sum(1)), np.sqrt((docs**2).sum(1))
-    q_there, d_there = np.isfinite(q_size), np.isfinite(d_size)
-    if metric == "cosine":
-        q_there, d_there = q_there & (q_size > 0), d_there & (d_size > 0)
-    scale = max(q_size[q_there].max(initial=0.0), d_size[d_there].max(initial=0.0))
-    if not 1e-100 < scale < 1e100:
-        return None
-    q_size, d_size = np.where(q_there, q_size, 0.0), np.where(d_there, d_size, 0.0)
+    kept = np.flatnonzero(docs.there)
+    if len(kept) < len(docs):
+        docs = docs.take(kept)
+    if not len(docs):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least, most = (1e-100, 1e100) if metric == "cosine" else (1e-15, 1e15)
+    for side in (queries, docs):
+        sizes = side.size[side.there]
+        low = sizes.min(initial=np.inf) if metric == "cosine" else max(queries.size.max(initial=0.0), docs.size.max())
+        if len(sizes) and not (least < low and sizes.max() < most):
+            return None
     if metric == "cosine":
-        q_unit, d_unit = np.where(q_there, q_size, 1.0), np.where(d_there, d_size, 1.0)
-        q_length, longest, half = np.ones(len(queries)), 1.0, np.zeros(len(docs))
+        q_length, longest, half = np.ones(len(queries)), 1.0, None
+        near_bound = bound - 1.0
     else:
-        q_unit, d_unit = np.full(len(queries), scale), np.full(len(docs), scale)
-        q_length, longest, half = q_size / scale, d_size.max(initial=0.0) / scale, (d_size / scale) ** 2 / 2.0
-    left = (np.where(q_there[:, None], queries, 0.0) / q_unit[:, None]).astype(np.float32)
-    right = (np.where(d_there[:, None], docs, 0.0) / d_unit[:, None]).astype(np.float32)
-    # half of what the distance adds to the query's own share; docs without a place are infinitely far
-    near = left @ right.T
-    np.subtract(np.where(d_there, half, np.inf).astype(np.float32), near, out=near)
-    rounding = np.finfo(np.float32).eps * (queries.shape[1] + 16)
+        q_length, longest, half = queries.size, docs.size.max(), (docs.size**2 / 2.0).astype(np.float32)
+        near_bound = (bound - q_length**2) / 2.0
+    rounding = np.finfo(np.float32).eps * (queries.vectors.shape[1] + 16)
     error = rounding * (q_length * longest + longest**2 + q_length**2) + 1e-30
-    cut = np.full(len(queries), np.inf)
     groups = min(max(GROUPS, 8 * k), len(docs))
-    if len(docs) > k:
-        width = len(docs) // groups
-        least = near[:, : groups * width].reshape(len(queries), width, groups).min(1)
-        cut = np.partition(least, k - 1, axis=1)[:, k - 1].astype(np.float64)
-    if bound is not None:
-        cut = np.minimum(cut, bound - 1.0 if metric == "cosine" else (bound / scale**2 - q_length**2) / 2.0)
-    cut = np.where(q_there, np.minimum(cut + 2.0 * error, np.finfo(np.float32).max), -np.inf)
-    found = np.flatnonzero(near <= cut.astype(np.float32)[:, None])
-    if len(found) > len(queries) * 4 * max(k, 16) and len(docs) > k:
-        return None
-    return found // len(docs), found % len(docs)
+    width = len(docs) // groups
+    found, n = [], 0
+    for at in range(0, len(queries), PRODUCT_ROWS):
+        some = slice(at, at + PRODUCT_ROWS)
+        # what a distance takes off the query's own share, halved: the more, the nearer
+        near = queries.single[some] @ docs.single.T
+        if half is not None:
+            near -= half
+        cut = -near_bound[some]
+        if len(docs) > k and not np.isfinite(cut).all():
+            best = near[:, : groups * width].reshape(len(near), width, groups).max(1)
+            cut = np.maximum(cut, np.partition(best, groups - k, axis=1)[:, groups - k])
+        with np.errstate(over="ignore"):
+            cut = np.where(queries.there[some], cut - 2.0 * error[some], np.inf).astype(np.float32)
+        rows = np.flatnonzero(near.max(1) >= cut)
+        places = np.flatnonzero(near[rows] >= cut[rows, None])
+        found.append((at + rows[places // len(docs)], kept[places % len(docs)]))
+        n += len(places)
+        if n > (at + len(near)) * 4 * max(k, 16) + PRODUCT_ROWS and len(docs) > k:
+            return None
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(side) for side in zip(*found))
 
 
 def _near_pairs(queries: np.ndarray, docs: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
@@ -152,17 +187,21 @@ def _near_pairs(queries: np.ndarray, docs: np.ndarray, k: int, metric: str) -> t
     return np.nonzero(there)
 
 
-def _best(queries: np.ndarray, docs: np.ndarray, k: int, metric: str, bound: np.ndarray | None = None):
+def _best(queries: np.ndarray | _Points, docs: np.ndarray | _Points, k: int, metric: str, bound: np.ndarray | None = None):
     """(query row, doc row, distance) of the ``k`` nearest docs per query, nearest first.
 
     Docs farther than a query's ``bound`` may be left out.
     """
-    pairs = _few_pairs(queries, docs, k, metric, bound)
-    at_query, at_doc = _near_pairs(queries, docs, k, metric) if pairs is None else pairs
+    queries, docs = (side if isinstance(side, _Points) else _Points(side, metric) for side in (queries, docs))
+    pairs = _few_pairs(queries, docs, k, metric, np.full(len(queries), np.inf) if bound is None else bound)
+    if pairs is None:
+        pairs = _near_pairs(queries.vectors[queries.rows], docs.vectors[docs.rows], k, metric)
+    at_query, at_doc = pairs
     exact = np.empty(len(at_query))
     for at in range(0, len(exact), PAIRS):
         some = slice(at, at + PAIRS)
-        exact[some] = _distances(queries[at_query[some]], docs[at_doc[some]], metric)
+        left, right = queries.vectors[queries.rows[at_query[some]]], docs.vectors[docs.rows[at_doc[some]]]
+        exact[some] = _distances(left, right, metric)
     known = np.isfinite(exact)
     at_query, at_doc, exact = at_query[known], at_doc[known], exact[known]
     order = np.lexsort((at_doc, exact, at_query))
@@ -172,6 +211,56 @@ def _best(queries: np.ndarray, docs: np.ndarray, k: int, metric: str, bound: np.
     return at_query[keep], at_doc[keep], exact[keep]
 
 
+def _first_equal(vectors: np.ndarray) -> np.ndarray:
+    """Per row the first row with the same vector, or itself where hashes of different vectors meet."""
+    hashes = np.empty(len(vectors), np.uint64)
+    factors = np.cumprod(np.full(vectors.shape[1], 0x9E3779B97F4A7C15, np.uint64))
+    for at in range(0, len(vectors), BLOCK_ROWS):
+        bits = (vectors[at : at + BLOCK_ROWS] + 0.0).view(np.uint64)
+        hashes[at : at + BLOCK_ROWS] = ((bits ^ (bits >> np.uint64(32))) * factors).sum(1, dtype=np.uint64)
+    _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+    first = first[of]
+    for at in range(0, len(vectors), BLOCK_ROWS):
+        some = slice(at, at + BLOCK_ROWS)
+        differs = at + np.flatnonzero((vectors[some] != vectors[first[some]]).any(1))
+        first[differs] = differs
+    return first
+
+
+class _Copies:
+    """Rows with equal vectors as one: ``first`` are the first rows of each vector, in order.
+
+    The ``k`` nearest rows are among the rows of the ``k`` nearest vectors, if equal distances fall by first rows.
+    """
+
+    def __init__(self, first_equal: np.ndarray):
+        _, first, of = np.unique(first_equal, return_index=True, return_inverse=True)
+        order = np.argsort(first)
+        place = np.empty(len(first), np.int64)
+        place[order] = np.arange(len(first))
+        self.first, of = first[order], place[of]
+        self.members, self.count = np.argsort(of, kind="stable"), np.bincount(of, minlength=len(first))
+        self.start = np.cumsum(self.count) - self.count
+
+    def rows(self, q: np.ndarray, d: np.ndarray, distance: np.ndarray, k: int):
+        """Pairs of queries and vectors as pairs with rows, no more than ``k`` rows of a vector."""
+        count = np.minimum(self.count[d], k)
+        within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(q, count), self.members[np.repeat(self.start[d], count) + within], np.repeat(distance, count)
+
+
+def _improve(near: np.ndarray, which: np.ndarray, q: np.ndarray, d: np.ndarray, distance: np.ndarray) -> None:
+    """Merge new pairs into the nearest docs of each query, in place."""
+    k, touched = near.shape[1], np.unique(q)
+    owner = np.concatenate([np.repeat(touched, k), q])
+    doc, far = np.concatenate([which[touched].ravel(), d]), np.concatenate([near[touched].ravel(), distance])
+    order = np.lexsort((doc, far, owner))
+    owner, doc, far = owner[order], doc[order], far[order]
+    rank = np.arange(len(owner)) - np.searchsorted(owner, owner, side="left")
+    kept = rank < k
+    near[owner[kept], rank[kept]], which[owner[kept], rank[kept]] = far[kept], doc[kept]
+
+
 def _merged(parts: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The ``k`` nearest docs per query of several results, with their ranks."""
     q, d, dist = (np.concatenate(p) for p in zip(*parts))
@@ -185,7 +274,7 @@ def _merged(parts: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 def _search(
     queries: pd.DataFrame, tile: _Tile, k: int, metric: str, match_on: Sequence[str]
 ) -> pd.DataFrame:
-    """Nearest rows of one tile for a batch of queries; peak memory is one block of products."""
+    """Nearest rows of one tile for a batch of queries; equal vectors are searched once."""
     found = []
     wanted_columns = [f"{c}_filter" for c in match_on]
     if match_on:
@@ -195,19 +284,23 @@ def _search(
     for wanted, group in groups:
         values = [None if pd.isna(w) else w for w in wanted]
         rows = tile.matching(dict(zip(match_on, values)))
+        if not len(rows):
+            continue
+        copies = _Copies(tile.first_equal[rows])
+        once = rows[copies.first]
+        blocks = [_Points(tile.vectors[once[lo : lo + BLOCK_ROWS]], metric) for lo in range(0, len(once), BLOCK_ROWS)]
         for at in range(0, len(group), QUERY_ROWS):
             block = group.iloc[at : at + QUERY_ROWS]
-            vectors = _matrix(block["embedding"])
+            asked = _Points(_matrix(block["embedding"]), metric)
             ids = block["query_id"].to_numpy()
-            best, bound = None, np.full(len(block), np.inf)
-            for lo in range(0, len(rows), BLOCK_ROWS):
-                some = rows[lo : lo + BLOCK_ROWS]
-                q, d, dist = _best(vectors, tile.vectors[some], k, metric, bound)
-                best = _merged([(q, some[d], dist), *([best[:3]] if best else [])], k)
-                bound[best[0][best[3] == k]] = best[2][best[3] == k]
-            if best is None:
-                continue
-            q, d, dist, rank = best
+            near, which = np.full((len(block), k), np.inf), np.full((len(block), k), len(once), np.int64)
+            for i, docs in enumerate(blocks):
+                q, d, dist = _best(asked, docs, k, metric, near[:, k - 1])
+                if len(q):
+                    _improve(near, which, q, d + i * BLOCK_ROWS, dist)
+            q, rank = np.nonzero(np.isfinite(near))
+            q, d, dist = copies.rows(q, which[q, rank], near[q, rank], k)
+            q, d, dist, rank = _merged([(q, rows[d], dist)], k)
             found.append(
                 pd.DataFrame(
                     {
@@ -399,7 +492,9 @@ def retrieved_incidents(hits: DataFrame, kb: DataFrame, digests: bool = False) -
 
     ``normalized`` is the text near-duplicates are judged by, computed once per knowledge-base row.  With
     ``digests`` it is that text's digest, empty for an empty text: enough where only equal texts repeat each other.
+    Hits are written first, as they are read twice and the search behind them is the costliest step.
     """
+    hits = written(hits.select("query_id", "doc_id", "distance", "rank"), "hits")
     plain = normalize_text("issue_description")
     if digests:
         plain = F.when(plain == "", "").otherwise(F.sha2(plain, 256))

@@ -166,7 +166,7 @@ def all_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings")).select(
         F.col("vec_id").alias("query_id"), "embedding"
     )
 
