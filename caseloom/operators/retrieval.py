@@ -361,7 +361,7 @@ def prepare_index(
     fits = size["rows"] * size["dimension"] * 8 + size["text"] <= broadcast_bytes
     matrix = None
     if fits and size["rows"]:
-        matrix = kb.sparkSession.sparkContext.broadcast(_Tile(docs.toPandas(), match_on))
+        matrix = kb.sparkSession.sparkContext.broadcast(_Tile(docs.toArrow().to_pandas(), match_on))
     return Index(docs, tuple(match_on), size["rows"], size["dimension"], matrix)
 
 
