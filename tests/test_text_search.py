@@ -52,6 +52,20 @@ def test_tickets_find_incidents_by_their_words(spark, incidents):
             assert set(WORDS[topic].split()) & set(texts[c.doc_id].split())
 
 
+def test_equal_vectors_share_a_search(spark, incidents):
+    memory = text_search.build_text_memory(incidents, dimensions=8)
+    issues = ["password reset and login", "refund for invoice by card", "zzz"]
+    rows = [(i, f"{issues[i % 3]} account{i}", "INCIDENT", "ZZ", "LOW") for i in range(30)]
+    tickets = spark.createDataFrame(rows, "ticket_id long, issue string, type string, queue string, ml_priority string")
+    asked, candidates = text_search.requests_and_candidates(tickets, memory)
+    assert candidates.count() <= len(issues)  # account numbers are no known words
+    out = {r.ticket_id: r for r in T.predict_and_retrieve(asked, candidates).collect()}
+    assert sorted(out) == list(range(30))
+    for i, row in out.items():
+        assert f"account{i}" in row.retrieval_query and row.issue_description == rows[i][1]
+        assert row.retrieved_incidents == out[i % 3].retrieved_incidents
+
+
 def test_triage_by_text(spark, incidents):
     memory = text_search.build_text_memory(incidents, dimensions=8)
     rows = [(1, "password reset and login", "INCIDENT", "QQ", "LOW"), (2, "", "INCIDENT", "QQ", "LOW")]
