@@ -1,10 +1,13 @@
 """The squared-hinge classifier and gradient checks against numpy."""
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from caseloom.operators import linear_models as lin
 
@@ -127,3 +130,13 @@ def test_words_that_most_rows_share_cost_few_passes():
     fit = lin.fit_squared_hinge(passes, 40 + rare, 2)
     assert (fit.gradient <= 1e-6 * fit.first_gradient).all()
     assert passes.made < 50
+
+
+def test_a_reader_holds_few_blocks(spark):
+    values = array_to_vector(F.array_repeat(F.lit(1.0), lin.BLOCK_ENTRIES)).alias("features")
+    rows = spark.range(0, 12, 1, 1).select(values, F.lit(0.0).alias("_label"), F.lit(1.0).alias("class_weight"))
+    with lin.Blocks(rows) as blocks:
+        assert blocks.rows == 12
+        files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.table.inputFiles()]
+    groups = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert sum(groups) == 12 and max(groups) <= 4
