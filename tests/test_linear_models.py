@@ -140,3 +140,14 @@ def test_a_reader_holds_few_blocks(spark):
         files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.table.inputFiles()]
     groups = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
     assert sum(groups) == 12 and max(groups) <= 4
+
+
+def test_equal_rows_are_merged(data):
+    df, x, y, c = data
+    twice = df.union(df.withColumn("class_weight", F.col("class_weight") * 2)).repartition(7)
+    with lin.Blocks(twice, merge=True) as blocks:
+        assert blocks.rows <= 400
+        fit = lin.fit_squared_hinge(blocks, 9, 3)
+    assert np.allclose(fit.loss, loss_of(x, y, 3 * c, fit.weights, 1.0), rtol=1e-10)
+    want = np.stack([solve(x, y, 3 * c, label, 1.0) for label in range(3)], 1)
+    assert np.allclose(fit.weights, want, atol=1e-4)
