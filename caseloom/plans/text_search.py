@@ -33,9 +33,14 @@ class TextMemory:
 
 
 def build_text_memory(incidents: DataFrame, encoder: Encoder | None = None, **encoder_options) -> TextMemory:
-    """Encode and index the ``retrieval_text`` of incidents; learns the encoder if none is given."""
+    """Encode and index the ``retrieval_text`` of incidents; learns the encoder if none is given.
+
+    Incidents and vectors are written first, as encoder, index and search read them several times.
+    """
+    incidents = written(incidents, "incidents")
     encoder = encoder or fit_encoder(incidents, "retrieval_text", **encoder_options)
     vectors = encode(incidents.select("doc_id", "retrieval_text"), encoder, "retrieval_text")
+    vectors = written(vectors.select("doc_id", "embedding"), "incident-vectors")
     return TextMemory(incidents, encoder, build_metric_index(vectors, metric="cosine"))
 
 

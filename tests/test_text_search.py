@@ -66,6 +66,19 @@ def test_equal_vectors_share_a_search(spark, incidents):
         assert row.retrieved_incidents == out[i % 3].retrieved_incidents
 
 
+def test_incidents_are_computed_once(spark, incidents):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    memory = text_search.build_text_memory(incidents.mapInArrow(counted, incidents.schema), dimensions=8)
+    assert memory.index.rows == 240 and memory.incidents.count() == 241
+    assert seen.value == 241
+
+
 def test_triage_by_text(spark, incidents):
     memory = text_search.build_text_memory(incidents, dimensions=8)
     rows = [(1, "password reset and login", "INCIDENT", "QQ", "LOW"), (2, "", "INCIDENT", "QQ", "LOW")]
