@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from caseloom.operators import retrieval
+from caseloom.operators import metric_index, retrieval
 
 KB = (
     "doc_id string, issue_description string, resolution string, type string, queue string, priority string, "
@@ -54,3 +54,16 @@ def test_equal_vectors_are_searched_once(monkeypatch, metric, match_on):
         near = sorted((d, docs["doc_id"][i]) for d, i in zip(far, rows) if np.isfinite(d))[:50]
         want += [(q, r + 1, doc, d) for r, (d, doc) in enumerate(near)]
     assert sorted(got[["query_id", "rank", "doc_id", "distance"]].itertuples(index=False, name=None)) == want
+
+
+def test_a_large_index_is_built_once(spark, monkeypatch):
+    rows = [(f"d{i}", [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
+    kb = spark.createDataFrame(rows, "doc_id string, embedding array<float>")
+    queries = kb.selectExpr("doc_id AS query_id", "embedding")
+    built, build = [], metric_index.build_metric_index
+    monkeypatch.setattr(metric_index, "build_metric_index", lambda *a, **b: built.append(a) or build(*a, **b))
+    index = retrieval.prepare_index(kb, broadcast_bytes=0)
+    order = ["query_id", "rank"]
+    once, again = (retrieval.knn_topk(queries, index, 4, metric="cosine").orderBy(order).collect() for _ in range(2))
+    assert len(built) == 1 and once == again
+    assert once == retrieval.knn_topk(queries, kb, 4, metric="cosine").orderBy(order).collect()
